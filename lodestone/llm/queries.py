@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import packing
+from lodestone.llm import mixing, packing
 from lodestone.llm.common import read
 
 
@@ -13,8 +13,51 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents' sources by weights 5, 2, 1 takes of each document."""
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 QUERIES = {
+    "op5_mixing": op5_mixing,
     "op7_packing": op7_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) * 3 AS cap,
+         CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total,
+         coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened
+  FROM s
+), lv AS (
+  SELECT arg_min((total - capped) / opened, capped) AS lvl FROM r WHERE (total - capped) / opened <= cap / weight
+), t AS (
+  SELECT source, source_size, least(cap, weight * lvl) AS target FROM r, lv
+), e AS (
+  SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS epochs FROM t
+), b AS (
+  SELECT *, target - epochs * source_size AS budget FROM e
+), hs AS (
+  SELECT source, h, sum(size) AS n FROM d GROUP BY source, h
+), c AS (
+  SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM hs
+), x AS (
+  SELECT c.source, c.h, upto <= budget OR (upto - n <= budget AND upto - budget < budget - (upto - n)) AS extra
+  FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
+)
+SELECT d.doc_id, d.size, b.source_size, b.target, d.source,
+       CAST(least(b.epochs + CASE WHEN x.extra AND b.budget > 0 THEN 1 ELSE 0 END, 3) AS INTEGER) AS copies,
+       CAST(d.size * least(b.epochs + CASE WHEN x.extra AND b.budget > 0 THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
+""",
+}
