@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packing
+from lodestone.llm import licenses, mixing, packing, quality
 from lodestone.llm.common import read
 
 
@@ -13,14 +14,30 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every whole text of documents."""
+    return licenses.license_report(licenses.scan_licenses(read(spark, sf_dir, "documents")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality ledger of every whole text of documents under the base rules and policy v1."""
+    book = quality.ledger(read(spark, sf_dir, "documents"))
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.apply_policy(book, "base")).alias("base_failed"), quality.apply_policy(book, "v1").alias("kept"), F.col("fail_bits"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents' sources by weights 5, 2, 1 takes of each document."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES = {
+    "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
 }
 
 ORACLE: dict[str, str] = {
@@ -59,5 +76,41 @@ SELECT d.doc_id, d.size, b.source_size, b.target, d.source,
        CAST(d.size * least(b.epochs + CASE WHEN x.extra AND b.budget > 0 THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
+""",
+    "op8_quality": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
+), g AS (
+  SELECT k, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram, i
+  FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+), f AS (
+  SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM g
+), r AS (
+  SELECT k, count(*) AS n_repeat_words
+  FROM (SELECT DISTINCT k, i + o AS p FROM f, (VALUES (0), (1), (2)) v(o) WHERE n > 1) GROUP BY k
+), l AS (
+  SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k
+), m AS (
+  SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(l.n_lines, 0) AS BIGINT) AS n_lines,
+         CAST(coalesce(r.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
+         length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclamations
+  FROM d JOIN w ON d.k = w.k LEFT JOIN r ON d.k = r.k LEFT JOIN l ON d.k = l.k
+), b AS (
+  SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 5 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 30 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines >= 4 AND 10 * n_dup_lines > 5 * n_lines THEN 32 ELSE 0 END
+    + CASE WHEN 10 * n_capitals > 5 * word_chars THEN 64 ELSE 0 END + CASE WHEN 10 * n_exclamations > 5 * n_words THEN 128 ELSE 0 END AS BIGINT) AS fail_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+FROM b
 """,
 }
