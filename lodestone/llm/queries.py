@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import licenses, mixing, packing, quality
+from lodestone.llm import licenses, mixing, packing, quality, templates
 from lodestone.llm.common import read
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1 formatted, and what reads back from the output."""
+    return templates.digest_conversations(templates.format_conversations(templates.with_probe(read(spark, sf_dir, "conversations"))))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
+    "op6_chat": op6_chat,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
 }
