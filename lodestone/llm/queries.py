@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import licenses, mixing, packing, quality, templates
-from lodestone.llm.common import read
+from lodestone.llm import langid, licenses, mixing, packing, quality, templates, toxicity
+from lodestone.llm.common import crc_bucket, read
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +38,27 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of documents, learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_bucket(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents, learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", (crc_bucket(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 
 ORACLE: dict[str, str] = {
