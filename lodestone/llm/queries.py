@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, licenses, mixing, packing, quality, templates, toxicity
+from lodestone.llm import langid, licenses, lines, mixing, packing, quality, templates, toxicity
 from lodestone.llm.common import crc_bucket, read
 
 
@@ -19,6 +19,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents without the lines that five documents share, but in the last one."""
+    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every whole text of documents."""
     return licenses.license_report(licenses.scan_licenses(read(spark, sf_dir, "documents")))
@@ -52,6 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lines": op2_lines,
     "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
@@ -62,6 +69,21 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_lines": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT k, doc_id, i, ls[i] AS line,
+         translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT k, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
+), c AS (
+  SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT k) >= 5
+)
+SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (c.last <> l.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (c.last IS NULL OR c.last = l.doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN c ON l.key = c.key
+GROUP BY l.k
+""",
     "op5_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
