@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, licenses, lines, mixing, packing, quality, templates, toxicity
+from lodestone.llm import embeddings, langid, licenses, lines, mixing, packing, quality, templates, toxicity
 from lodestone.llm.common import crc_bucket, read
 
 
@@ -19,6 +19,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings of a label at cosine 0.98."""
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents without the lines that five documents share, but in the last one."""
     out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -58,6 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op2_lines": op2_lines,
     "op3_licenses": op3_licenses,
     "op5_mixing": op5_mixing,
