@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import embeddings, langid, licenses, lines, mixing, packing, quality, templates, toxicity
+from lodestone.llm import embeddings, langid, licenses, lines, mixing, neardup, packing, quality, templates, toxicity
 from lodestone.llm.common import crc_bucket, read
 
 
@@ -44,6 +44,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents at five words and a similarity of 0.8."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents' sources by weights 5, 2, 1 takes of each document."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_lines": op2_lines,
     "op3_licenses": op3_licenses,
+    "op4_minhash": op4_minhash,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op7_packing": op7_packing,
