@@ -16,12 +16,13 @@ TRASHED = ("deleted_at", "deletedAt")
 
 @dataclass
 class Dataset:
-    """name; supply() gives the current rows; key identifies a row; relations by name."""
+    """name; supply() gives the current rows; key identifies a row; relations by name; scopes apply to every query."""
 
     name: str
     supply: Callable[[], DataFrame]
     key: str = "id"
     relations: dict = field(default_factory=dict)
+    scopes: dict[str, Callable] = field(default_factory=dict)
 
     @classmethod
     def open(cls, spark: SparkSession, sf_dir: str, name: str, key: str) -> Dataset:
@@ -74,10 +75,11 @@ class Dataset:
     def count(self) -> DataFrame:
         return self.supply().agg(F.count(F.lit(1)).alias("n"))
 
-    def query(self):  # noqa: ANN201
+    def query(self, *without: str):  # noqa: ANN201
+        """A query under the dataset's scopes but those named."""
         from lodestone.plans.query import Query
 
-        return Query(self)
+        return reduce(lambda q, name: q if name in without else self.scopes[name](q), self.scopes, Query(self))
 
 
 def trashed(df: DataFrame) -> Column | None:
