@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_bucket
+from lodestone.llm.common import crc_bucket, materialize
 
 #: Training text of a language: so many symbols, shared out if there are many languages, from about TRAIN_DOCS documents
 #: (chosen by a hash of doc_id), of each at most TRAIN_CHARS code points.
 TRAIN_SYMBOLS, ALL_SYMBOLS, TRAIN_DOCS, TRAIN_CHARS = 20_000, 600_000, 64, 4_000
+#: Documents that the training samples of all languages hold together, about; languages whose counts are broadcast.
+ALL_DOCS, BROADCAST_LANGS = 20_000, 10_000
 #: Letters that the tables tell apart; any other letter matches nothing.
 LETTERS = 200
 #: Symbols that are parsed in one go, and blocks of them at a time.
@@ -184,9 +186,11 @@ def train(docs: DataFrame) -> Model:
     Counts per language cover all those documents; the sample follows from them by hash, so reruns agree.
     """
     usable = docs.where("doc_id is not null and lang is not null and text is not null").where(crc_bucket(F.col("doc_id")) != 2)
-    counts = F.broadcast(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # a row per language
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(float(1 << 31)) * TRAIN_DOCS / F.col("n")
-    picked = usable.select("doc_id", "lang", "text").join(counts, "lang").where(part)
+    counts = materialize(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    langs = counts.count()
+    docs_each = max(1, min(TRAIN_DOCS, ALL_DOCS // max(1, langs)))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(float(1 << 31)) * docs_each / F.col("n")
+    picked = usable.select("doc_id", "lang", "text").join(F.broadcast(counts) if langs <= BROADCAST_LANGS else counts, "lang").where(part)
     rows = picked.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):

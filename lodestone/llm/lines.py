@@ -27,6 +27,8 @@ from lodestone.llm.common import materialize, text_bytes
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Hashes of one shard at most, about; probes of one sub-shard that hit, about, at least.
 SHARD_KEYS, SHARD_PROBES = 50_000, 1_000
+#: Up to so many shards their sizes are broadcast (two integers each); beyond, they are joined by shuffle.
+BROADCAST_SHARDS = 500_000
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 _EDGE = 4 * MIN_CHARS
@@ -149,8 +151,8 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long")
 
 
-def build_index(hashes: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, int]:
-    """(index: shard, subs, blob; sizes: shard, subs; number of shards) over the hashes of at least min_docs documents."""
+def build_index(hashes: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, int]:
+    """(index: shard, subs, blob; number of shards) over the hashes of at least min_docs documents."""
     spark = hashes.sparkSession
     counted = hashes.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
     counted = materialize(counted, "lines-counted")
@@ -168,17 +170,16 @@ def build_index(hashes: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame,
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "blob": [index.to_bytes()]})
 
     blobs = counted.groupBy("shard").applyInPandas(build, "shard int, blob binary")
-    return blobs.join(sizes, "shard"), sizes, shards
+    return blobs.join(sizes, "shard"), shards
 
 
 def find_repeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, drops (array of hi, lo): the keys whose lines the document loses."""
     hashes = line_hashes(docs)
-    index, sizes, shards = build_index(hashes, min_docs)
+    index, shards = build_index(hashes, min_docs)
     index = materialize(index, "lines-index")
-    # A row of two integers per shard that holds a hash; shards grow by SHARD_KEYS qualifying hashes.
-    sizes = F.broadcast(index.select("shard", "subs"))
-    probes = hashes.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")).join(sizes, "shard")
+    sizes = index.select("shard", "subs")
+    probes = hashes.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")).join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard")
     probes = probes.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int").alias("sub"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", F.lit(None).cast("binary").alias("blob"))
     zero = F.lit(0).cast("long")
     shared = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(0).alias("kind"), zero.alias("hi"), zero.alias("lo"), zero.alias("doc_id"), "blob")
