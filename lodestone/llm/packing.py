@@ -28,6 +28,8 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import ship
+
 #: Context sizes, longest first; each is a power of two.
 TIERS = (1024, 512, 256, 128)
 #: Tails that one packing round holds.
@@ -199,6 +201,7 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, round_size: i
     null ids are packed as documents of their own. An empty table gives no rows. Reruns over the same partitions agree.
     ranks_path: vocabulary file of merge ranks on every executor; by default byte_bpe_50k.
     """
+    ship(docs.sparkSession)
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
