@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from lodestone.operators.relations import BelongsTo, HasMany, HasOne, ManyToMany
 from lodestone.plans.ast import field
 from lodestone.plans.query import Query
 from lodestone.sources.dataset import Dataset
-from lodestone.sources.tables import read_table
+from lodestone.sources.tables import read_table, scratch_dir
 from lodestone.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -644,3 +645,15 @@ def watch_transitions(spark, sf_dir):
 def schema_diff(spark, sf_dir):
     of = lambda s: T._parse_datatype_string(s)
     return migrate.diff(spark, {"a": of("x int, y int"), "c": of("q int")}, {"a": of("y bigint, z string"), "b": of("q int")})
+
+
+@register("live_query", f"SELECT user_id, value FROM {LAST} WHERE r = 1 AND event_type <> 'error' AND value > 50")
+def live_query(spark, sf_dir):
+    """The events as a stream: the last published result of a live query over the latest row per user."""
+    events = read_table(spark, sf_dir, "events")
+    folder = f"{scratch_dir(spark)}/live-{uuid.uuid4().hex}"
+    stream = live.changes(spark, sf_dir, events.schema, glob="events.parquet")
+    log = stream.select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), "value")
+    query = live.LiveQuery(spark, "user_id", log.schema, lambda df: df.where("value > 50"), lambda new, moved, n: new.write.mode("overwrite").parquet(f"{folder}/result"), folder)
+    query.start(log, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/result")

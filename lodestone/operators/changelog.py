@@ -119,3 +119,19 @@ class ChangeLog:
         target = self.path.rstrip("/") + ".compact"
         live.coalesce(files).write.mode("overwrite").parquet(target)
         self.spark.read.parquet(target).write.mode("overwrite").parquet(self.path)
+
+    def live_bytes(self) -> tuple[int, int]:
+        """(log bytes, live bytes), by the length of the records as JSON."""
+        log = self.read()
+        r = sizes(log, self.key, F.length(F.to_json(F.struct(*log.columns)))).first()
+        return r["log_bytes"], r["live_bytes"]
+
+    def maybe_compact(self, files: int = 1) -> bool:
+        """Compact if the policy says so; whether it did. Meant for a scheduled job."""
+        if due := should_compact(*self.live_bytes()):
+            self.compact(files)
+        return due
+
+    def snapshot(self, path: str) -> None:
+        """Write the state as a table of its own."""
+        self.state().write.mode("overwrite").parquet(path)

@@ -20,3 +20,8 @@ def diff(spark: SparkSession, old: dict[str, T.StructType], new: dict[str, T.Str
         rows += [("changed_type", table, c, t) for c, t in after.items() if before.get(c, t) != t]
     rows += [("dropped_table", t, None, None) for t in sorted(set(old) - set(new))]
     return spark.createDataFrame(rows, "kind string, table string, column string, type string")
+
+
+def annotate(schema: T.StructType, **notes: dict) -> T.StructType:
+    """The schema with metadata on its fields: collection, relation and index notes travel with the data."""
+    return T.StructType([T.StructField(f.name, f.dataType, f.nullable, {**f.metadata, **notes.get(f.name, {})}) for f in schema])

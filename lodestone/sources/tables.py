@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory, with pushdown and pruning left to Catalyst."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one for a local master only."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{found}/lodestone"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lodestone-")

@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 from lodestone.operators.changelog import DELETE, last_of_batch
 
 
-def changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """The log folder as a stream."""
+def changes(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, glob: str | None = None) -> DataFrame:
+    """The log folder as a stream; glob: only files of such names."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
 
 

@@ -135,6 +135,9 @@ def test_log_scenarios(spark, tmp_path):
     before = log.read().count()
     log.compact()
     assert log.read().count() == 9_997 < before and log.state().count() == 9_997
+    assert not log.maybe_compact() and log.live_bytes()[0] > 0
+    log.snapshot(str(tmp_path / "snap"))
+    assert spark.read.parquet(str(tmp_path / "snap")).count() == 9_997
     log.delete(log.state())
     log.compact()
     assert log.state().count() == 0
@@ -180,6 +183,7 @@ def test_layout(spark, tmp_path):
 def test_schema_diff(spark):
     one = T.StructType().add("a", T.IntegerType())
     assert migrate.diff(spark, {"t": one}, {"t": one}).count() == 0
+    assert migrate.annotate(one, a={"index": "range"})["a"].metadata == {"index": "range"}
 
 
 def test_live_query(spark, tmp_path):
