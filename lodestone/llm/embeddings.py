@@ -56,16 +56,18 @@ def _usable(embedding: list | None) -> np.ndarray | None:
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, label, key, vec of the vectors that can link; vec holds doubles, key is its 128-bit digest."""
+    """vec_id, label, key, vec of every row; vec holds doubles, key is its 128-bit digest; both are null where the row can
+    link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_usable(e) for e in b.column(2).to_pylist()]
-            at = pa.array([i for i, v in enumerate(found) if v is not None], pa.int64())
-            raw = [v.tobytes() for v in found if v is not None]
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "key", "vec"])
+            known = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            found = [_usable(e) if i is not None and label is not None else None for i, label, e in known]
+            raw = [None if v is None else v.tobytes() for v in found]
+            keys = [None if x is None else xxhash.xxh3_128_digest(x) for x in raw]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "label", "key", "vec"])
 
-    typed = rows.where("vec_id is not null and label is not null").select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    typed = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
     return typed.mapInArrow(run, "vec_id long, label string, key binary, vec binary")
 
 
@@ -151,7 +153,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Null vectors, zero vectors, vectors with null or non-finite components and rows without a vec_id link with nothing.
     Repeated rows count as vectors of their own that link with each other. An empty table gives no rows.
     """
-    own = materialize(_vectors(rows).withColumn("_salt", salt("vec_id")), "emb-vectors")
+    every = materialize(_vectors(rows).withColumn("_salt", salt("vec_id")), "emb-vectors")
+    own = every.where("key is not null")
     stats = group_stats(own, ["label", "key"], {"rep": (F.min("vec_id"), F.min), "copies": (F.count(F.lit(1)), F.sum), "vec": (F.first("vec"), F.first)})
     stats = materialize(stats.withColumn("dim", (F.length("vec") / 8).cast("int")), "emb-stats")
     largest = stats.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
@@ -176,6 +179,6 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = stats.select("label", "key", "rep", "copies", "_salts").join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("label", "key", "_salts", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = attach(own.select("vec_id", "label", "key", "_salt"), known, ["label", "key"]).select("vec_id", "n_links", "component_id")
-    alone = rows.select(F.col("vec_id").cast("long")).join(own.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = every.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -119,30 +119,39 @@ def band_codes(best: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (128-bit digest of the words), n (shingles), codes (one a band) of the documents with words."""
+    """doc_id, key (128-bit digest of the words), n (shingles), codes (one a band) of every row; rows without words or
+    without a doc_id have a null key."""
 
     def finish(held: list[tuple]) -> pa.RecordBatch:
         ids, keys, all_x, all_w, ns = zip(*held, strict=True)
         owner = np.repeat(np.arange(len(ids)), [len(x) for x in all_x])
         codes = band_codes(signatures(owner, np.concatenate(all_x), np.concatenate(all_w), len(ids)))
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(list(codes), pa.list_(pa.int64()))], names=["doc_id", "key", "n", "codes"])
+        return _sketch_batch(ids, keys, ns, list(codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, bare = [], 0, []
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                h = shingles(text)
-                if len(h):
-                    x, w = np.unique(h, return_counts=True)
-                    held.append((doc_id, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), x, w, len(h)))
-                    size += len(x)
+                h = shingles(text) if doc_id is not None else ()
+                if not len(h):
+                    bare.append(doc_id)
+                    continue
+                x, w = np.unique(h, return_counts=True)
+                held.append((doc_id, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), x, w, len(h)))
+                size += len(x)
                 if size >= BATCH or len(held) >= 512:
                     yield finish(held)
                     held, size = [], 0
+            yield _sketch_batch(bare, *[[None] * len(bare)] * 3)
+            bare = []
         if held:
             yield finish(held)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, codes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, codes array<long>")
+
+
+def _sketch_batch(ids: list, keys: list, ns: list, codes: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "codes"])
 
 
 def _tokens_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -238,7 +247,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     as are rows without a doc_id (class null, kept). Rows of one doc_id stand for one document: they stay or go together.
     An empty table gives no rows.
     """
-    sketch = materialize(_sketches(docs).withColumn("_salt", salt("doc_id")), "near-sketch")
+    every = materialize(_sketches(docs).withColumn("_salt", salt("doc_id")), "near-sketch")
+    sketch = every.where("key is not null")
     stats = group_stats(sketch, ["key"], {"rep": (F.min("doc_id"), F.min), "n": (F.max("n"), F.max), "codes": (F.first("codes"), F.first)})
     stats = materialize(stats, "near-reps")
     each = stats.select(F.col("rep").alias("id"), "n", F.explode("codes").alias("code"))
@@ -263,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     known = stats.select("key", "rep", "_salts").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", "_salts", F.coalesce("component", "rep").alias("class_id"))
     linked = attach(sketch.select("doc_id", "key", "_salt"), known, ["key"]).select("doc_id", "class_id")
-    alone = docs.select(F.col("doc_id").cast("long")).join(sketch.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"))
+    alone = every.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
