@@ -24,6 +24,8 @@ NGRAM, BITS = 6, 19
 #: Labelled rows of each class that the fit uses, about; chosen by a hash of doc_id. Texts beyond TRAIN_CHARS code points
 #: are not used for the fit, which bounds what the driver holds.
 TRAIN_ROWS, TRAIN_CHARS = 2_000, 60_000
+#: Features that the fit touches at a time.
+CHUNK = 1_000_000
 #: Steps of the fit, its learning rate and penalty.
 STEPS, RATE, PENALTY = 80, 0.2, 1e-5
 #: Texts that score at least this are predicted toxic.
@@ -106,22 +108,37 @@ def _calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float
 
 
 def _fit(rows: list[tuple[np.ndarray, int]]) -> Model:
-    y = np.array([c for _, c in rows], np.float32)
+    """Log-count ratios and weights. Features lie in two flat arrays; every pass goes over them in pieces of CHUNK."""
+    y = np.array([c for _, c in rows], np.float64)
     index = np.concatenate([x for x, _ in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x, _ in rows])
-    size = 1 << BITS
-    positive = np.bincount(index, y[row], size) + 1
-    negative = np.bincount(index, 1 - y[row], size) + 1
+    ends = np.cumsum([len(x) for x, _ in rows])
+    size, ones = 1 << BITS, max(1.0, y.sum())
+    pieces, first = [], 0
+    while first < len(rows):
+        begin = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
+        at = np.r_[begin, ends[first : last - 1]] - begin
+        pieces.append((slice(begin, int(ends[last - 1])), slice(first, last), at, np.diff(np.r_[at, ends[last - 1] - begin])))
+        first = last
+    positive, negative = np.ones(size), np.ones(size)
+    for part, own, _, lengths in pieces:
+        positive += np.bincount(index[part], np.repeat(y[own], lengths), size)
+        negative += np.bincount(index[part], np.repeat(1 - y[own], lengths), size)
     ratio = (np.log(positive / (y.sum() + 2)) - np.log(negative / (len(y) - y.sum() + 2))).astype(np.float32)
-    value = ratio[index]
-    value /= np.sqrt(np.bincount(row, value * value, len(rows)) + 1e-12).astype(np.float32)[row]
-    each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))  # both classes weigh the same
+    value = np.empty(len(index), np.float32)
+    for part, _, at, lengths in pieces:
+        v = ratio[index[part]]
+        value[part] = v / np.repeat(np.sqrt(np.add.reduceat(v * v, at) + 1e-12), lengths)
+    each = np.where(y == 1, 0.5 / ones, 0.5 / max(1.0, len(y) - y.sum()))  # both classes weigh the same
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, w[index] * value, len(rows)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * each
-        gw, gb = np.bincount(index, g[row] * value, size) + PENALTY * w, g.sum()
+        gw, gb = PENALTY * w, 0.0
+        for part, own, at, lengths in pieces:
+            z = np.add.reduceat(w[index[part]] * value[part], at) + b
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) * each[own]
+            gw += np.bincount(index[part], np.repeat(g, lengths) * value[part], size)
+            gb += g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
         w -= rate * m / (np.sqrt(v) + 1e-8)
@@ -150,26 +167,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(sample, "doc_id").select("doc_id", "toxic", "text")
     found = texts.mapInArrow(extract, "doc_id long, toxic int, f binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("f").alias("f")).collect()
-    data = [(np.frombuffer(r["f"], np.int32), r["toxic"]) for r in sorted(found, key=lambda r: r["doc_id"])]
-    data = [x for x in data if len(x[0])]
+    data = [(np.frombuffer(r["f"], np.int32), r["toxic"]) for r in sorted(found, key=lambda r: r["doc_id"]) if r["f"]]
+    del found
     if len({c for _, c in data}) < 2:
         return constant(share)
     return fit_rows(data, share)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column `score` (double, 0 to 1) appended; a column of that name is replaced.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of that name (double, 0 to 1) appended; if there is one, it is replaced.
 
     Every whole text is scored once, null as empty: those get the prior share. Repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c != "score"]
+    own = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             scores = pa.array([m.score(t.as_py()) for t in b.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, name])
 
-    schema = docs.select(*own).schema.add("score", "double")
+    schema = docs.select(*own).schema.add(name, "double")
     return docs.select(*own).mapInArrow(run, schema)
