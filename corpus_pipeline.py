@@ -14,15 +14,23 @@ from lodestone.llm import lines, mixing, neardup, packing, toxicity
 from lodestone.llm.common import materialize, read
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold, learned from this stage's documents and the labels."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = unused(docs, "toxicity")
+    return toxicity.score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that five of them share but in the last one; n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, counts=(unused(docs, "n_lines"), unused(docs, "n_dropped")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -209,15 +209,15 @@ def find_repeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, hi long, lo long").groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with text replaced by its kept lines, and n_lines (before) and n_dropped appended; columns of those names are
-    replaced.
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text replaced by its kept lines, and two columns appended: lines before, and lines dropped. counts names
+    them; columns of those names are replaced.
 
     Lines end at \\n; a null or empty text is one empty line, its new text is empty. A key held by min_docs rows or more
     loses all its lines but those in the rows of the largest doc_id that holds it. Repeated rows count one by one and are
     treated alike; a null doc_id is smaller than any other. An empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = [c for c in docs.columns if c not in counts]
     drops = find_repeated(docs, min_docs)
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
     id_at, text_at = own.index("doc_id"), own.index("text")
@@ -240,4 +240,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.record_batch([*columns, pa.array(before, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_lines", "n_dropped")
+    return joined.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], F.col("n_lines").alias(counts[0]), F.col("n_dropped").alias(counts[1]))

@@ -62,3 +62,20 @@ def test_packing(steps, tok):  # noqa: F811
 def test_run_agrees(spark, steps):
     key = lambda df: sorted(map(str, df.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert key(P.run(spark, SF)) == key(steps[5])
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names; and no rows at all."""
+    texts_ = [None, "", " \n ", "x " * 20_000, "a plain text of seven words here", "a plain text of seven words here", "é", "line\n" * 50]
+    rows = [(i if i != 6 else None, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "s", None if i % 2 else 1, 0.5, "n", i) for i, t in enumerate(texts_)]
+    rows += [rows[4], rows[7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, n_lines string, copies int")
+    empty = docs.limit(0)
+    for name, stage in P.STAGES:
+        out, none = materialize(stage(spark, docs, SF), f"odd-{name}"), stage(spark, empty, SF)
+        assert none.count() == 0
+        if name != "packing":
+            assert out.columns == none.columns == docs.columns and out.dtypes == docs.dtypes
+            assert {r.score for r in out.collect()} == {0.5} and {r.n_lines for r in out.collect()} == {"n"}
+            docs = out
+    assert out.selectExpr("count(distinct sequence_id, offset) = count(*)").first()[0]
