@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 #: Sub-groups into which a hot key is dealt before its rows meet again.
 SALTS = 64
 
+#: Rows of an Arrow batch, unless the session says otherwise: batches hold whole texts, in the JVM and in Python at once.
+ARROW_ROWS = 1_000
+
 #: White space of the word and line definitions: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; where it is installed, nothing changes."""
+    """Let Python workers import this package from where the driver has it (where it is installed, nothing changes), and
+    bound Arrow batches if the session leaves Spark's default of 10,000 rows."""
+    if spark.conf.get(_ARROW, "10000") == "10000":
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in (paths := env.get("PYTHONPATH", "")).split(":"):
         env["PYTHONPATH"] = f"{paths}:{root}".strip(":")

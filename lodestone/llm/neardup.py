@@ -38,7 +38,7 @@ SMALL, BLOCK = 12, 256
 #: Up to so many document ids are broadcast to pick their texts (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Shingles whose signatures are made in one go, and columns of a block's matrix.
-BATCH, COLUMNS = 200_000, 8192
+BATCH, COLUMNS = 50_000, 8192
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -37,7 +37,7 @@ ROUND = 4096
 #: Tokens of a training step's group of sequences.
 GROUP_TOKENS = 8 * 1024
 #: Distinct words whose ids a Python worker remembers.
-CACHE = 600_000
+CACHE = 300_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
