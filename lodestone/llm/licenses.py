@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 #: The phrases and labels that are always reported.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Per license: label | keyword | its name | its identifier | its address; all over normalised words.
+#: Per license: label | keyword | its name | its identifier | its address; all over normalised words. Every match of the name
+#: holds the keyword: names that share none have lines of their own, without identifier and address.
 FAMILIES = """
 apache-2.0 | apache | apache (?:software )?licen[sc]e(?: version)?(?: 2(?: 0)?)?|apache 2(?: 0)? licen[sc]e | apache 2 0 | apache org licenses license 2 0
 apache-1.1 | apache | apache software licen[sc]e version 1 1|apache licen[sc]e 1 1 | apache 1 1 | apache org licenses license 1 1
-mit | mit | (?:mit|expat) licen[sc]e|mit style licen[sc]e | mit | opensource org licenses mit(?: license)?
+mit | mit | mit licen[sc]e|mit style licen[sc]e | mit | opensource org licenses mit(?: license)?
+mit | expat | expat licen[sc]e
 mit-0 | mit | mit no attribution(?: licen[sc]e)? | mit 0 | opensource org licenses? mit 0
 bsd-2-clause | bsd | (?:simplified|2 clause|two clause|freebsd) bsd(?: licen[sc]e)?|bsd 2 clause(?: licen[sc]e)? | bsd 2 clause | opensource org licenses bsd 2 clause
 bsd-3-clause | bsd | (?:new|modified|revised|3 clause|three clause) bsd(?: licen[sc]e)?|bsd 3 clause(?: licen[sc]e)? | bsd 3 clause | opensource org licenses bsd 3 clause
@@ -28,8 +30,10 @@ bsd-4-clause | bsd | (?:original|4 clause|four clause) bsd(?: licen[sc]e)?|bsd 4
 bsd-0-clause | bsd | (?:zero clause|0 clause) bsd(?: licen[sc]e)?|bsd zero clause(?: licen[sc]e)? | 0bsd | opensource org licenses? 0bsd
 bsd | bsd | bsd (?:style )?licen[sc]e | bsd | opensource org licenses bsd license
 gpl-1.0 | gnu | gnu general public licen[sc]e(?: version| v)? 1|gnu gpl ?v?1 | gpl 1 0(?: only| or later)? | gnu org licenses old licenses gpl 1 0
-gpl-2.0 | gnu | gnu general public licen[sc]e(?: version| v)? 2|gnu gpl(?: version)? v?2|gplv2 | gpl 2 0(?: only| or later)? | gnu org licenses (?:old licenses )?gpl 2 0
-gpl-3.0 | gnu | gnu general public licen[sc]e(?: version| v)? 3|gnu gpl(?: version)? v?3|gplv3 | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0
+gpl-2.0 | gnu | gnu general public licen[sc]e(?: version| v)? 2|gnu gpl(?: version)? v?2 | gpl 2 0(?: only| or later)? | gnu org licenses (?:old licenses )?gpl 2 0
+gpl-2.0 | gplv2 | gplv2
+gpl-3.0 | gnu | gnu general public licen[sc]e(?: version| v)? 3|gnu gpl(?: version)? v?3 | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0
+gpl-3.0 | gplv3 | gplv3
 gpl | gnu | gnu general public licen[sc]e|gnu gpl | gpl | gnu org licenses gpl(?: html)?
 lgpl-2.0 | gnu | gnu library general public licen[sc]e(?: version 2)? | lgpl 2 0(?: only| or later)? | gnu org licenses old licenses lgpl 2 0
 lgpl-2.1 | gnu | gnu lesser general public licen[sc]e(?: version| v)? 2 1|gnu lgpl v?2 1 | lgpl 2 1(?: only| or later)? | gnu org licenses (?:old licenses )?lgpl 2 1
@@ -54,12 +58,14 @@ libpng | libpng | libpng licen[sc]e(?: version 2)? | libpng(?: 2 0)? | libpng or
 boost-1.0 | boost | boost software licen[sc]e(?: version 1 0)? | bsl 1 0 | boost org license 1 0
 artistic-1.0 | artistic | (?:perl )?artistic licen[sc]e 1 0 | artistic 1 0(?: perl)? | opensource org licenses artistic 1 0
 artistic-2.0 | artistic | (?:perl )?artistic licen[sc]e(?: 2 0)? | artistic 2 0 | opensource org licenses artistic 2 0
-python-2.0 | python | python software foundation licen[sc]e(?: version 2)?|psf licen[sc]e | (?:python|psf) 2 0 | docs python org 3 license
+python-2.0 | python | python software foundation licen[sc]e(?: version 2)? | (?:python|psf) 2 0 | docs python org 3 license
+python-2.0 | psf | psf licen[sc]e
 ruby | ruby | ruby licen[sc]e | ruby | ruby lang org en about license
 php-3.01 | php | php licen[sc]e(?: version 3 01?)? | php 3 01 | php net license 3 01
 postgresql | postgresql | postgresql licen[sc]e | postgresql | postgresql org about licence
 unlicense | unlicen | the unlicen[sc]e|unlicen[sc]ed? public domain | unlicense | unlicense org
-wtfpl | wtfpl | do what the [a-z]+ you want to public licen[sc]e|wtfpl(?: licen[sc]e)? | wtfpl | wtfpl net
+wtfpl | wtfpl | wtfpl(?: licen[sc]e)? | wtfpl | wtfpl net
+wtfpl | do what the | do what the [a-z]+ you want to public licen[sc]e
 x11 | x11 | x11 licen[sc]e | x11 | xfree86 org 3 3 6 copyright2
 ncsa | ncsa | (?:university of illinois )?ncsa open source licen[sc]e | ncsa | otm illinois edu uiuc openSource
 upl-1.0 | universal | universal permissive licen[sc]e(?: version 1 0)? | upl 1 0 | opensource org licenses upl
@@ -79,11 +85,16 @@ odbl-1.0 | open database | open (?:data commons open )?database licen[sc]e(?: v?
 odc-by | open data commons | open data commons attribution licen[sc]e | odc by(?: 1 0)? | opendatacommons org licenses by
 pddl-1.0 | public domain dedication | public domain dedication and licen[sc]e | pddl 1 0 | opendatacommons org licenses pddl
 cc0-1.0 | cc0 | cc0(?: 1 0)?(?: universal)?(?: public domain dedication)? | cc0 1 0 | creativecommons org publicdomain zero
-cc-by-nc-nd | nc nd | cc by nc nd(?: [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(?:ative)?s? | cc by nc nd [1-4] [05] | creativecommons org licenses by nc nd
-cc-by-nc-sa | nc sa | cc by nc sa(?: [1-4] [05])?|creative commons attribution non ?commercial share ?alike | cc by nc sa [1-4] [05] | creativecommons org licenses by nc sa
-cc-by-nc | by nc | cc by nc(?: [1-4] [05])?|creative commons attribution non ?commercial | cc by nc [1-4] [05] | creativecommons org licenses by nc
-cc-by-nd | by nd | cc by nd(?: [1-4] [05])?|creative commons attribution no ?deriv(?:ative)?s? | cc by nd [1-4] [05] | creativecommons org licenses by nd
-cc-by-sa | by sa | cc by sa(?: [1-4] [05])?|creative commons attribution share ?alike | cc by sa [1-4] [05] | creativecommons org licenses by sa
+cc-by-nc-nd | nc nd | cc by nc nd(?: [1-4] [05])? | cc by nc nd [1-4] [05] | creativecommons org licenses by nc nd
+cc-by-nc-nd | creative commons | creative commons attribution non ?commercial no ?deriv(?:ative)?s?
+cc-by-nc-sa | nc sa | cc by nc sa(?: [1-4] [05])? | cc by nc sa [1-4] [05] | creativecommons org licenses by nc sa
+cc-by-nc-sa | creative commons | creative commons attribution non ?commercial share ?alike
+cc-by-nc | by nc | cc by nc(?: [1-4] [05])? | cc by nc [1-4] [05] | creativecommons org licenses by nc
+cc-by-nc | creative commons | creative commons attribution non ?commercial
+cc-by-nd | by nd | cc by nd(?: [1-4] [05])? | cc by nd [1-4] [05] | creativecommons org licenses by nd
+cc-by-nd | creative commons | creative commons attribution no ?deriv(?:ative)?s?
+cc-by-sa | by sa | cc by sa(?: [1-4] [05])? | cc by sa [1-4] [05] | creativecommons org licenses by sa
+cc-by-sa | creative commons | creative commons attribution share ?alike
 cc-by | cc by | cc by(?: [1-4] [05])? | cc by [1-4] [05] | creativecommons org licenses by
 creative-commons | creative commons | creative commons(?: attribution)?(?: licen[sc]e)? | cc | creativecommons org licenses
 open-rail | rail | (?:creativeml )?open ?rail(?: m)?(?: licen[sc]e)? | openrail | huggingface co spaces bigscience license
@@ -113,7 +124,8 @@ gpl | free software | this program is free software you can redistribute it and
 gpl | without any warranty | distributed in the hope that it will be useful but without any warranty | 0.9
 warranty | as is | (?:provided|distributed|supplied) (?:on an )?as is(?: basis)?(?: without warrant(?:y|ies))? | 0.6
 zlib | altered source | altered source versions must be plainly marked as such | 1.0
-other-permissive | free for any use | free for any use|free to use copy and modify | 0.5
+other-permissive | free for any use | free for any use | 0.5
+other-permissive | free to use copy | free to use copy and modify | 0.5
 other-noncommercial | non commercial | (?:for )?non commercial (?:use|purposes) only | 0.7
 other-license | licen | licen[sc]ed under [a-z0-9]+ | 0.3
 other-license | licen | see (?:the )?(?:file )?licen[sc]e(?: txt| md)?(?: file)? for (?:details|more) | 0.4
@@ -122,11 +134,11 @@ other-license | licen | see (?:the )?(?:file )?licen[sc]e(?: txt| md)?(?: file)?
 
 def rules() -> list[tuple[str, str, str, float]]:
     """(label, keyword, expression, confidence), first the most telling forms."""
-    families = [[x.strip() for x in line.split(" | ")] for line in FAMILIES.splitlines()]
+    families = [([x.strip() for x in line.split(" | ")] + ["", ""])[:5] for line in FAMILIES.splitlines()]
     grant = r"(?:licen[sc]ed|released|distributed|published|available|provided|covered)(?: and [a-z]+)?(?: to you)? (?:under|by)(?: the)?(?: terms of)?(?: the)?"
-    out = [(label, "spdx", f"spdx licen[sc]e identifier (?:{ident})", 1.0) for label, _, _, ident, _ in families]
+    out = [(label, "spdx", f"spdx licen[sc]e identifier (?:{ident})", 1.0) for label, _, _, ident, _ in families if ident]
     out += [(label, key, f"{grant} (?:{name})", 1.0) for label, key, name, _, _ in families]
-    out += [(label, " ".join(address.split()[:2]), f"(?:https? )?(?:www )?{address.lower()}", 0.95) for label, _, _, _, address in families]
+    out += [(label, " ".join(address.split()[:2]), f"(?:https? )?(?:www )?{address.lower()}", 0.95) for label, _, _, _, address in families if address]
     out += [(label, key, name, 0.8) for label, key, name, _, _ in families]
     out += [(a, b, c, float(d)) for a, b, c, d in ([x.strip() for x in line.split(" | ")] for line in SINGLES.splitlines())]
     return out

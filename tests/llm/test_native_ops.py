@@ -54,6 +54,42 @@ def test_licenses_against_brute_force(spark, odd):
     assert len(licenses.rules()) >= 200
 
 
+def sample(rnd, parsed):
+    """A random text that a parsed expression matches."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, x = rnd.choice(arg)
+            out += chr(x if str(kind) == "LITERAL" else rnd.randint(*x))
+        elif name == "MAX_REPEAT":
+            out += "".join(sample(rnd, arg[2]) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif name == "BRANCH":
+            out += sample(rnd, rnd.choice(arg[1]))
+        else:
+            out += sample(rnd, arg[3])
+    return out
+
+
+def test_keyword_gate_loses_no_match(spark, monkeypatch):
+    rnd, table = random.Random(8), licenses.rules()
+    texts = [" ".join(sample(rnd, re._parser.parse(x)).split()) for _, _, x, _ in table for _ in range(8)]
+    keys = [k for _, k, _, _ in table for _ in range(8)]
+    assert [(k, t) for k, t in zip(keys, texts, strict=True) if k not in t] == []
+    lines = ["Licensed under GPLv2", "see gplv3", "Expat license", "PSF license", "do what the heck you want to public license", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-NonCommercial-NoDerivs", "Free to use, copy and modify."]
+    texts = lines + texts[::8]
+    monkeypatch.setattr(licenses, "rules", lambda: [(a, "", x, c) for a, _, x, c in table])
+    want = [brute_licenses(t)[2] for t in texts]
+    monkeypatch.undo()
+    found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in found:
+        assert sorted((d.start, d.end, d.priority) for d in r.detections) == want[r.doc_id], texts[r.doc_id]
+    got = {r.doc_id: [d.label for d in r.detections] for r in found}
+    assert [got[i] for i in range(8)] == [["gpl-2.0"], ["gpl-3.0"], ["mit"], ["python-2.0"], ["wtfpl"], ["cc-by-sa"], ["cc-by-nc-nd"], ["other-permissive"]]
+
+
 def test_known_lines(spark):
     lines = {0: "Licensed under the Apache License, Version 2.0.", 1: "Released under the MIT License.", 2: "Licensed under CC BY-NC 4.0.", 3: "This work is licensed under the GNU General Public License, version 3.", 4: "An apache of the mit."}
     got = {r.doc_id: r for r in licenses.license_report(licenses.scan_licenses(spark.createDataFrame(list(lines.items()), "doc_id long, text string"))).collect()}
