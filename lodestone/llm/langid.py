@@ -2,12 +2,13 @@
 
 A suffix automaton of labelled text per language tells how far a text can be read as a substring of that text; a parse
 cuts the text greedily into such longest matches (phrases). The fewer phrases, weighted by the logarithm of the training
-text's length, the closer the language. Automata become dense transition tables, and all blocks of a batch of texts are
-parsed in lockstep over all languages. Texts are read whole, in blocks of BLOCK symbols; a phrase ends with its block.
+text's length, the closer the language. Automata become sparse transition tables, and all blocks of a batch of texts are
+parsed in lockstep over all languages. Every letter of the training texts is a symbol of its own. Texts are read whole, in blocks of BLOCK symbols; a phrase ends with its block.
 """
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +25,8 @@ from lodestone.llm.common import crc_bucket, materialize
 TRAIN_SYMBOLS, ALL_SYMBOLS, TRAIN_DOCS, TRAIN_CHARS = 20_000, 600_000, 64, 4_000
 #: Documents that the training samples of all languages hold together, about; languages whose counts are broadcast.
 ALL_DOCS, BROADCAST_LANGS = 20_000, 10_000
-#: Letters that the tables tell apart; any other letter matches nothing.
-LETTERS = 200
+#: Places that are tried for a state's transitions before the table grows.
+TRIES = 1000
 #: Symbols that are parsed in one go, and blocks of them at a time.
 BLOCK, BLOCKS = 256, 2048
 
@@ -63,9 +64,39 @@ class Automaton:
             last = cur
 
 
+def place(states: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Table of the transitions (-1: none), and each state's base in it.
+
+    The transition of a state by symbol c is at base + c and holds base << 32 | base of the next state. Bases differ and
+    rows are laid into each other's gaps, fullest first, so the table follows the number of transitions.
+    """
+    rnd = random.Random(0).random
+    size = 2 * sum(map(len, states)) + 2
+    used, taken, base = bytearray(size + width), bytearray(size), [0] * len(states)
+    for state in sorted(range(len(states)), key=lambda i: -len(states[i])):
+        steps = states[state]
+        for _ in range(TRIES):
+            b = int(rnd() * size)
+            if not taken[b] and not any(used[b + c] for c in steps):
+                break
+        else:
+            b = size + width
+            used.extend(bytes(width + 1))
+            taken.extend(bytes(width + 1))
+            size = b + 1
+        base[state], taken[b] = b, 1
+        for c in steps:
+            used[b + c] = 1
+    table = np.full(size + width, -1, np.int64)
+    for state, steps in enumerate(states):
+        for c, to in steps.items():
+            table[base[state] + c] = base[state] << 32 | base[to]
+    return table, np.array(base)
+
+
 @dataclass
 class Model:
-    """Per language a table of transitions (-1: none), flattened one after another; symbol `width - 1` is padding."""
+    """Tables of transitions (see place) of all languages, one after another; symbol `width - 1` is padding."""
 
     langs: list[str]
     symbols: dict[str, int]
@@ -88,6 +119,11 @@ class Model:
         keep[1:] = ~(gap[1:] & gap[:-1])
         return s[keep], bool(self.alpha[points].any())
 
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states that the symbols lead to; -1: none."""
+        found = self.table[state + symbol]
+        return np.where(found >> 32 == state, found & 0xFFFFFFFF, -1)
+
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
         """blocks: n x BLOCK symbols. n x languages: phrases of each block."""
         n, root = len(blocks), self.base[None, :]
@@ -95,15 +131,18 @@ class Model:
         count = np.zeros((n, len(self.langs)), np.int64)
         for column in blocks.T.astype(np.int64):
             column = column[:, None]
-            ahead = self.table[state + column]
+            padding = column == self.width - 1
+            ahead = self.step(state, column)
+            if padding.any():
+                ahead = np.where(padding, state, ahead)
             # A phrase begins at the root, or where the one before cannot go on; a symbol that nothing matches is one.
             begun = ahead < 0
             if begun.any():
-                first = self.table[root + column]
+                first = self.step(root, column)
                 follow = np.where(begun, np.where(first < 0, root, first), ahead)
             else:
                 follow = ahead
-            count += (begun | (state == root)) & (column != self.width - 1)
+            count += (begun | (state == root)) & ~padding
             state = follow
         return count
 
@@ -121,7 +160,7 @@ class Model:
         for i, (s, letters) in enumerate(encoded):
             if letters:
                 n = -(-len(s) // BLOCK)
-                padded = np.full(n * BLOCK, self.width - 1, np.uint8)
+                padded = np.full(n * BLOCK, self.width - 1, s.dtype)
                 padded[: len(s)] = s
                 for a in range(0, n, BLOCKS):
                     part = padded[a * BLOCK : (a + BLOCKS) * BLOCK].reshape(-1, BLOCK)
@@ -143,38 +182,35 @@ class Model:
         return out
 
 
+def fold(letter: str) -> str:
+    """A letter in lower case, if that is one code point."""
+    return low if len(low := letter.lower()) == 1 else letter
+
+
 def lookup(symbols: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Code point to symbol, and to whether it is a letter."""
+    """Code point to symbol, in the smallest type that holds all and the padding, and to whether it is a letter."""
     alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    lut = np.where(alpha, UNKNOWN, GAP).astype(np.uint8)
-    for letter, s in symbols.items():
-        for form in (letter, letter.upper()):
-            if len(form) == 1:
-                lut[ord(form)] = s
+    lut = np.where(alpha, UNKNOWN, GAP).astype(np.min_scalar_type(len(symbols) + 2))
+    for c in np.flatnonzero(alpha):
+        lut[c] = symbols.get(fold(chr(c)), UNKNOWN)
     return lut, alpha
 
 
 def build(texts: dict[str, str]) -> Model:
     """texts: training text by language. Languages without a letter in it are left out."""
     langs = sorted(k for k, t in texts.items() if any(map(str.isalpha, t)))
-    seen = Counter(c for k in langs for c in texts[k].lower() if c.isalpha() and len(c) == 1)
-    symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.most_common(LETTERS)))}
+    seen = Counter(fold(c) for k in langs for c in texts[k] if c.isalpha())
+    symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
     width = len(symbols) + 3
-    model = Model(langs, symbols, np.zeros(0, np.int32), np.zeros(len(langs), np.int64), width, np.zeros(len(langs)))
+    model = Model(langs, symbols, np.zeros(0, np.int64), np.zeros(len(langs), np.int64), width, np.zeros(len(langs)))
     tables, at = [], 0
     most = max(500, min(TRAIN_SYMBOLS, ALL_SYMBOLS // max(1, len(langs))))
     for i, lang in enumerate(langs):
         s = model.encode(texts[lang])[0][:most]
-        automaton = Automaton(s.tolist())
-        table = np.full((len(automaton.next), width), -1, np.int32)
-        for state, steps in enumerate(automaton.next):
-            for c, to in steps.items():
-                if c != UNKNOWN:
-                    table[state, c] = at + to * width
-        table[:, width - 1] = at + np.arange(len(table)) * width
-        model.base[i], model.log_size[i] = at, np.log2(len(s) + 2)
-        tables.append(table.ravel())
-        at += table.size
+        table, base = place(Automaton(s.tolist()).next, width)
+        model.base[i], model.log_size[i] = at + base[0], np.log2(len(s) + 2)
+        tables.append(np.where(table < 0, -1, table + (at << 32 | at)))
+        at += len(table)
     model.table = np.concatenate(tables) if tables else model.table
     model.lut = None
     return model

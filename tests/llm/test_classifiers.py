@@ -67,3 +67,34 @@ def test_parse_against_brute_force():
         padded[: len(s)] = s
         got = model.phrases(padded.reshape(-1, langid.BLOCK)).sum(0)
         assert (got == want).all()
+
+
+def test_every_letter_of_the_training_texts_is_known():
+    rnd = random.Random(5)
+    hans, more, hangul = ([chr(c) for c in range(a, a + 1500)] for a in (0x4E00, 0x5A00, 0xAC00))
+    alphabets = {"aa": [chr(c) for c in range(0x3B1, 0x3CA)] + list("ABCıİß"), "ja": more + hans[:500], "ko": hangul, "zh": hans + more[:500]}
+    learned = {k: "".join(rnd.choice(a) for _ in range(6000)) for k, a in alphabets.items()}
+    model = langid.build(learned)
+    for text in learned.values():
+        assert langid.UNKNOWN not in model.encode(text)[0]
+    assert model.table.nbytes < 8 * 8 * sum(map(len, learned.values())) + 8 * 3 * model.width * len(learned)
+    for k in ("ko", "zh", "ja"):
+        text = "".join(learned[k][a : a + 5] for a in (rnd.randrange(5990) for _ in range(20)))
+        assert model.predict([text])[0][0] == k
+    known = {k: model.encode(t)[0].tolist() for k, t in learned.items()}
+    grams = {k: {tuple(x[i : i + n]) for n in range(1, 13) for i in range(len(x) - n + 1)} for k, x in known.items()}
+    for _ in range(20):
+        text = "".join((t := learned[rnd.choice(list(learned))])[(a := rnd.randrange(5990)) : a + rnd.randint(1, 6)] for _ in range(20))
+        s = model.encode(text)[0].tolist()
+        want = []
+        for k in model.langs:
+            at = n = 0
+            while at < len(s):
+                step = 1
+                while at + step < len(s) and step < 12 and tuple(s[at : at + step + 1]) in grams[k]:
+                    step += 1
+                at, n = at + step, n + 1
+            want.append(n)
+        padded = np.full((1, langid.BLOCK), model.width - 1, np.uint32)
+        padded[0, : len(s)] = s
+        assert model.phrases(padded)[0].tolist() == want
