@@ -23,6 +23,18 @@ def test_encoder_agrees_with_tokenizers(tok):
         assert list(np.frombuffer(enc(t), "<u4")) == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_agree_with_tokenizers(spark, tok):
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rnd = random.Random(2)
+    alphabet = ["a", " ", "  ", "\n", "é", "'s", "the", "<|endoftext|>", "<|endoftext", "|>", "<", "<|ENDOFTEXT|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|endoftext|>"] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 20))) for _ in range(2000)]
+    for t in texts:
+        assert list(np.frombuffer(enc(t), "<u4")) == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert list(np.frombuffer(enc(texts[0]), "<u4")) == [64, 220, 50256, 275]
+    docs = dict(enumerate(texts[:50]))
+    assert check(pack_documents(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect(), docs, tok) == 0
+
+
 def check(rows, docs, tok):
     """rows: of pack_documents; docs: {doc_id: text}, ids unique."""
     pieces = sorted((tuple(r)[:7] for r in rows), key=lambda r: (r[0], r[1]))
