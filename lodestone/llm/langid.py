@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import crc_bucket, materialize
 
 #: Training text of a language: so many symbols, shared out if there are many languages, from about TRAIN_DOCS documents
-#: (chosen by a hash of doc_id), of each at most TRAIN_CHARS code points.
+#: (chosen by a hash of doc_id) in equal shares, of each at most TRAIN_CHARS code points.
 TRAIN_SYMBOLS, ALL_SYMBOLS, TRAIN_DOCS, TRAIN_CHARS = 20_000, 600_000, 64, 4_000
 #: Documents that the training samples of all languages hold together, about; languages whose counts are broadcast.
 ALL_DOCS, BROADCAST_LANGS = 20_000, 10_000
@@ -196,17 +196,30 @@ def lookup(symbols: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     return lut, alpha
 
 
-def build(texts: dict[str, str]) -> Model:
-    """texts: training text by language. Languages without a letter in it are left out."""
-    langs = sorted(k for k, t in texts.items() if any(map(str.isalpha, t)))
-    seen = Counter(fold(c) for k in langs for c in texts[k] if c.isalpha())
+def shares(sizes: list[int], most: int) -> list[int]:
+    """Equal shares of `most`; what the short ones leave goes to the others."""
+    out = [0] * len(sizes)
+    for n, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], most // (len(sizes) - n))
+        most -= out[i]
+    return out
+
+
+def build(texts: dict[str, str | list[str]]) -> Model:
+    """texts: training text by language, or several, which get equal shares. Languages without a letter are left out."""
+    texts = {k: [t] if isinstance(t, str) else t for k, t in texts.items()}
+    langs = sorted(k for k, ts in texts.items() if any(c.isalpha() for t in ts for c in t))
+    seen = Counter(fold(c) for k in langs for t in texts[k] for c in t if c.isalpha())
     symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
     width = len(symbols) + 3
     model = Model(langs, symbols, np.zeros(0, np.int64), np.zeros(len(langs), np.int64), width, np.zeros(len(langs)))
     tables, at = [], 0
     most = max(500, min(TRAIN_SYMBOLS, ALL_SYMBOLS // max(1, len(langs))))
     for i, lang in enumerate(langs):
-        s = model.encode(texts[lang])[0][:most]
+        # A gap stands between the texts' shares.
+        parts = [x for t in texts[lang] if len(x := model.encode(t)[0])]
+        cut = shares([len(x) for x in parts], max(len(parts), most - len(parts) + 1))
+        s = np.concatenate([y for x, n in zip(parts, cut, strict=True) for y in (np.array([GAP], x.dtype), x[:n])])[1:]
         table, base = place(Automaton(s.tolist()).next, width)
         model.base[i], model.log_size[i] = at + base[0], np.log2(len(s) + 2)
         tables.append(np.where(table < 0, -1, table + (at << 32 | at)))
@@ -231,7 +244,7 @@ def train(docs: DataFrame) -> Model:
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    return build({k: "\n".join(v) for k, v in texts.items()})
+    return build(texts)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,6 +1,7 @@
 """Toxicity and language: held-out accuracy, brute-force parse, odd rows."""
 
 import random
+import zlib
 
 import numpy as np
 from lodestone.llm import langid, toxicity
@@ -98,3 +99,13 @@ def test_every_letter_of_the_training_texts_is_known():
         padded = np.full((1, langid.BLOCK), model.width - 1, np.uint32)
         padded[0, : len(s)] = s
         assert model.phrases(padded)[0].tolist() == want
+
+
+def test_every_sampled_document_is_learned_from(spark):
+    docs = [(i, chr(0x4E00 + i) * 3 + "ab " * 2000, "de") for i in range(60)] + [(100, "short", "de"), (101, "", "de"), (102, "123", "de")]
+    model = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    used = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    root = np.array([model.base[0]])
+    assert len(used) > 30 and all(model.step(root, np.array([model.symbols[chr(0x4E00 + i)]]))[0] >= 0 for i in used)
+    assert round(2 ** model.log_size[0] - 2) <= langid.TRAIN_SYMBOLS
+    assert langid.shares([5, 100, 100, 1], 106) == [5, 50, 50, 1] and langid.shares([3, 4], 100) == [3, 4]
