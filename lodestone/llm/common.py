@@ -1,9 +1,11 @@
-"""Shared pieces: the shared folder, intermediate tables, salted group statistics, Arrow helpers."""
+"""Shared pieces: intermediate tables, salted group statistics, Arrow helpers."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
-import uuid
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -11,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources import tables
+from lodestone.sources.tables import read_table
+
 #: Sub-groups into which a hot key is dealt before its rows meet again.
 SALTS = 64
 
@@ -22,41 +27,39 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Applications that have the package.
+_shipped: set[str] = set()
+
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (where it is installed, nothing changes), and
-    bound Arrow batches if the session leaves Spark's default of 10,000 rows."""
-    if spark.conf.get(_ARROW, "10000") == "10000":
+    """Let Python workers import this package, wherever the driver has it, and bound Arrow batches.
+
+    The package's sources go to the workers as a file of the application. The batch bound is the session's own setting; where
+    the session leaves it unset, it becomes ARROW_ROWS for the rest of the session.
+    """
+    if _ARROW not in spark.conf.getAll:
         spark.conf.set(_ARROW, str(ARROW_ROWS))
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in (paths := env.get("PYTHONPATH", "")).split(":"):
-        env["PYTHONPATH"] = f"{paths}:{root}".strip(":")
+    if (app := spark.sparkContext.applicationId) not in _shipped:
+        _shipped.add(app)
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="lodestone-")  # the driver serves it from here
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(path := f"{folder}/{package.name}.zip", "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data directory, by Spark's own reader."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a new one for a local master only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return made
+    return read_table(spark, sf_dir, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(df.sparkSession)
+    return tables.materialize(df, name)
 
 
 def salt(*cols: str) -> Column:
