@@ -41,9 +41,12 @@ def test_whole_table(spark):
     assert sorted([tuple(r) for r in op1_embeddings(spark, sf).collect()], key=repr) == brute(rows)
 
 
-def test_odd_rows_and_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("loose", [10, 1000])
+def test_odd_rows_and_large_groups(spark, monkeypatch, loose):
     monkeypatch.setattr(E, "BLOCK", 16)
+    monkeypatch.setattr(E, "INDEX_BLOCK", 16)
     monkeypatch.setattr(E, "BUCKET", 20)
+    monkeypatch.setattr(E, "LOOSE", loose)
     rnd = np.random.default_rng(3)
     base = rnd.standard_normal((6, 16))
     rows = [(i, np.float32(base[i % 6] + rnd.standard_normal(16) * 0.12).tolist(), i % 2) for i in range(150)]
@@ -64,6 +67,32 @@ def test_recall_follows_the_tables(bits):
     assert (1 - (1 - math.acos(0.98) / math.pi) ** found) ** tables <= E.MISS
 
 
+def test_loose_groups(spark, monkeypatch):
+    monkeypatch.setattr(E, "LOOSE", 50)
+    monkeypatch.setattr(E, "BLOCK", 32)
+    monkeypatch.setattr(E, "BUCKET", 2)
+    steps = np.random.default_rng(5).standard_normal((400, 16))
+    walk = np.zeros((400, 16))
+    walk[0] = steps[0]
+    for i in range(1, 400):  # neighbours link, the ends lie far apart: one group, many buckets
+        walk[i] = walk[i - 1] / np.linalg.norm(walk[i - 1]) + 0.045 * steps[i]
+    rows = [(i, np.float32(v).tolist(), 1) for i, v in enumerate(walk)]
+    want = brute(rows)
+    assert len({c for _, _, c, _ in want}) < 200
+    assert same(spark, rows) == want
+
+
+def test_sketches():
+    rnd = np.random.default_rng(6)
+    a = rnd.standard_normal((20_000, 32))
+    other = rnd.standard_normal((20_000, 32))
+    unit = a / np.linalg.norm(a, axis=1, keepdims=True)
+    other -= (other * unit).sum(1, keepdims=True) * unit
+    b = 0.98 * unit + math.sqrt(1 - 0.98**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    apart = (E.signs(a, E.SKETCH) != E.signs(b, E.SKETCH)).sum(1)
+    assert apart.max() <= E.sketch_slack() < 40 and abs(apart.mean() / E.SKETCH - math.acos(0.98) / math.pi) < 0.005
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(300)] + [(1000 + rnd.randint(0, 200), 1000 + rnd.randint(0, 200)) for _ in range(150)] + [(5000, i) for i in range(5001, 5400)] + [(7, 7), (None, 3), (3, None)]
