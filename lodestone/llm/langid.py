@@ -2,8 +2,13 @@
 
 A suffix automaton of labelled text per language tells how far a text can be read as a substring of that text; a parse
 cuts the text greedily into such longest matches (phrases). The fewer phrases, weighted by the logarithm of the training
-text's length, the closer the language. Automata become sparse transition tables, and all blocks of a batch of texts are
-parsed in lockstep over all languages. Every letter of the training texts is a symbol of its own. Texts are read whole, in blocks of BLOCK symbols; a phrase ends with its block.
+text's length, the closer the language. Automata become sparse transition tables; every letter of the training texts is a
+symbol of its own.
+
+Texts are parsed whole. To go through them in lockstep, they are cut into blocks, and every block is parsed from its start
+on as if a phrase began there. Then the parse before it is carried on into the block until one of its phrases begins where
+one of the block's own does; from there on both are the same. Phrases counted are those of the one parse from the text's
+start, however far a phrase reaches.
 """
 
 from __future__ import annotations
@@ -21,14 +26,17 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import crc_bucket, materialize
 
 #: Training text of a language: so many symbols, shared out if there are many languages, from about TRAIN_DOCS documents
-#: (chosen by a hash of doc_id) in equal shares, of each at most TRAIN_CHARS code points.
+#: (chosen by a hash of doc_id) in equal shares, of each a passage of at most TRAIN_CHARS code points at a place that the
+#: hash chooses.
 TRAIN_SYMBOLS, ALL_SYMBOLS, TRAIN_DOCS, TRAIN_CHARS = 20_000, 600_000, 64, 4_000
 #: Documents that the training samples of all languages hold together, about; languages whose counts are broadcast.
 ALL_DOCS, BROADCAST_LANGS = 20_000, 10_000
 #: Places that are tried for a state's transitions before the table grows.
 TRIES = 1000
-#: Symbols that are parsed in one go, and blocks of them at a time.
-BLOCK, BLOCKS = 256, 2048
+#: Symbols of a block, and blocks times languages that are parsed at a time.
+BLOCK, BLOCKS = 256, 8192
+#: Bytes that the broadcast tables may have.
+MODEL_BYTES = 1 << 29
 
 UNKNOWN, GAP = 0, 1
 
@@ -124,50 +132,108 @@ class Model:
         found = self.table[state + symbol]
         return np.where(found >> 32 == state, found & 0xFFFFFFFF, -1)
 
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """blocks: n x BLOCK symbols. n x languages: phrases of each block."""
-        n, root = len(blocks), self.base[None, :]
-        state = np.repeat(root, n, 0)
-        count = np.zeros((n, len(self.langs)), np.int64)
-        for column in blocks.T.astype(np.int64):
-            column = column[:, None]
-            padding = column == self.width - 1
-            ahead = self.step(state, column)
-            if padding.any():
-                ahead = np.where(padding, state, ahead)
-            # A phrase begins at the root, or where the one before cannot go on; a symbol that nothing matches is one.
-            begun = ahead < 0
-            if begun.any():
-                first = self.step(root, column)
-                follow = np.where(begun, np.where(first < 0, root, first), ahead)
-            else:
-                follow = ahead
-            count += (begun | (state == root)) & ~padding
-            state = follow
-        return count
+    def phrases(self, blocks: np.ndarray, follows: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """blocks: n x BLOCK symbols; follows: whether a block goes on with the text of the one before; state: where the first
+        block's parse stands, if it goes on with an earlier text.
+
+        Returns n x languages: the phrases that begin in each block (those of a carried-on parse are counted where it started),
+        and the state in which each text's last block ends (other rows mean nothing).
+        """
+        n, langs, root = len(blocks), len(self.langs), self.base[None, :]
+        symbols, pad = blocks.T.astype(np.int64), self.width - 1
+        at = np.repeat(root, n, 0)
+        if state is not None:
+            at[0] = state
+        begins = np.zeros((BLOCK, n, langs), bool)
+        for k, column in enumerate(symbols):
+            at, begins[k] = self._read(at, column[:, None], root)
+        # Carry each block's parse into the next one of its text. Row e of the lists below: block, language.
+        own, lang = (x.reshape(-1) for x in np.meshgrid(np.flatnonzero(follows[1:]), np.arange(langs), indexing="ij"))
+        where, now = (own + 1) * BLOCK, at[own, lang]
+        more, to, end = np.zeros(len(own), np.int64), np.full(len(own), -1, np.int64), now.copy()
+        left = np.arange(len(own))
+        while len(left):
+            spot = where[left]
+            inside = spot < n * BLOCK
+            inside[inside] &= (spot[inside] % BLOCK > 0) | follows[spot[inside] // BLOCK]
+            end[left[~inside]] = now[left[~inside]]
+            left, spot = left[inside], spot[inside]
+            block, place, tongue = spot // BLOCK, spot % BLOCK, lang[left]
+            symbol = symbols[place, block]
+            nxt, begun = self._read(now[left], symbol, self.base[tongue])
+            met = begun & begins[place, block, tongue]
+            over = symbol == pad
+            to[left[met]] = spot[met]
+            end[left[over]] = now[left[over]]
+            more[left] += begun & ~met
+            now[left] = nxt
+            where[left] += 1
+            left = left[~met & ~over]
+        # A block counts from where the parse before it met its own; what a parse passed wholly does not count.
+        first, alive = np.zeros((n, langs), np.int64), np.ones((n, langs), bool)
+        extra = np.zeros((n, langs), np.int64)
+        extra[own, lang] = more
+        near = to // BLOCK == own + 1
+        first[to[near] // BLOCK, lang[near]] = to[near] % BLOCK
+        for e in np.flatnonzero(~near):  # in the order of blocks
+            b, g = own[e], lang[e]
+            if alive[b, g]:
+                stop = to[e] // BLOCK if to[e] >= 0 else int(b) + 1 + int(np.argmin(np.r_[follows[b + 1 :], False]))
+                alive[b + 1 : stop, g] = False
+                if to[e] >= 0:
+                    first[stop, g] = to[e] % BLOCK
+                else:
+                    at[stop - 1, g] = end[e]
+        count = np.zeros((n, langs), np.int64)
+        for k in range(BLOCK):
+            count += begins[k] & (k >= first)
+        return np.where(alive, count + extra, 0), at
+
+    def _read(self, state: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, whether a phrase begins with the symbol). A phrase begins at the root, or where the one before cannot go
+        on; a symbol that nothing matches is one. Padding changes nothing."""
+        padding = symbol == self.width - 1
+        ahead = self.step(state, symbol)
+        begun = (ahead < 0) & ~padding
+        if begun.any():
+            first = self.step(root, symbol)
+            ahead = np.where(begun, np.where(first < 0, root, first), ahead)
+        return np.where(padding, state, ahead), (begun | (state == root)) & ~padding
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; ("und", 0.0) for null, for texts without a letter, and if nothing was learned."""
         encoded = [self.encode(t) if t and self.langs else (None, False) for t in texts]
         totals = np.zeros((len(texts), max(1, len(self.langs))), np.int64)
-        held, owners = [], []
-
-        def flush() -> None:
-            np.add.at(totals, np.concatenate(owners), self.phrases(np.concatenate(held)))
+        most = max(16, BLOCKS // max(1, len(self.langs)))
+        held: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        state = None  # of the text whose first part is done
+
+        def flush() -> np.ndarray:
+            nonlocal state
+            owner = np.concatenate(owners)
+            follows = np.r_[state is not None, owner[1:] == owner[:-1]]
+            count, end = self.phrases(np.concatenate(held), follows, state)
+            np.add.at(totals, owner, count)
             held.clear()
             owners.clear()
+            state = None
+            return end[-1]
 
         for i, (s, letters) in enumerate(encoded):
             if letters:
                 n = -(-len(s) // BLOCK)
                 padded = np.full(n * BLOCK, self.width - 1, s.dtype)
                 padded[: len(s)] = s
-                for a in range(0, n, BLOCKS):
-                    part = padded[a * BLOCK : (a + BLOCKS) * BLOCK].reshape(-1, BLOCK)
+                blocks, begin = padded.reshape(-1, BLOCK), 0
+                while begin < n:
+                    part = blocks[begin : begin + most - sum(map(len, held))]
                     held.append(part)
                     owners.append(np.full(len(part), i))
-                    if sum(map(len, held)) >= BLOCKS:
-                        flush()
+                    begin += len(part)
+                    if sum(map(len, held)) >= most:
+                        end = flush()
+                        state = end if begin < n else None
         if held:
             flush()
         out = []
@@ -214,17 +280,18 @@ def build(texts: dict[str, str | list[str]]) -> Model:
     width = len(symbols) + 3
     model = Model(langs, symbols, np.zeros(0, np.int64), np.zeros(len(langs), np.int64), width, np.zeros(len(langs)))
     tables, at = [], 0
-    most = max(500, min(TRAIN_SYMBOLS, ALL_SYMBOLS // max(1, len(langs))))
+    most = max(1, min(TRAIN_SYMBOLS, ALL_SYMBOLS // max(1, len(langs))))
     for i, lang in enumerate(langs):
         # A gap stands between the texts' shares.
         parts = [x for t in texts[lang] if len(x := model.encode(t)[0])]
         cut = shares([len(x) for x in parts], max(len(parts), most - len(parts) + 1))
         s = np.concatenate([y for x, n in zip(parts, cut, strict=True) for y in (np.array([GAP], x.dtype), x[:n])])[1:]
         table, base = place(Automaton(s.tolist()).next, width)
+        table = table[: max(int(base.max()), int(np.flatnonzero(table >= 0).max(initial=0))) + 1]  # foreign states never match
         model.base[i], model.log_size[i] = at + base[0], np.log2(len(s) + 2)
         tables.append(np.where(table < 0, -1, table + (at << 32 | at)))
         at += len(table)
-    model.table = np.concatenate(tables) if tables else model.table
+    model.table = np.concatenate([*tables, np.full(width, -1, np.int64)])
     model.lut = None
     return model
 
@@ -240,7 +307,8 @@ def train(docs: DataFrame) -> Model:
     docs_each = max(1, min(TRAIN_DOCS, ALL_DOCS // max(1, langs)))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(float(1 << 31)) * docs_each / F.col("n")
     picked = usable.select("doc_id", "lang", "text").join(F.broadcast(counts) if langs <= BROADCAST_LANGS else counts, "lang").where(part)
-    rows = picked.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")).collect()
+    start = F.pmod(F.xxhash64("doc_id", F.lit("passage")), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int")
+    rows = picked.groupBy("lang", "doc_id").agg(F.min(F.substring(F.col("text"), start + 1, F.lit(TRAIN_CHARS))).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
         texts.setdefault(r["lang"], []).append(r["text"])
@@ -248,7 +316,15 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, lang_pred, score (0.5 to 1, the runner-up's share of the cost)."""
+    """One row per row of docs (doc_id, text): doc_id, lang_pred, score (0.5 to 1, the runner-up's share of the cost; 1 if
+    one language is known).
+
+    Null and empty texts, texts without a letter, and all texts if nothing was learned: `und`, 0. Texts of any length are
+    parsed whole. Of languages at the same cost the first by code point wins. Repeated rows give repeated rows, an empty
+    table none; other columns are ignored, also those named like the result's.
+    """
+    if model.table.nbytes > MODEL_BYTES:
+        raise ValueError(f"the model's tables have {model.table.nbytes} bytes: lower ALL_SYMBOLS")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
