@@ -14,21 +14,17 @@ a window) moves to the next one. Sequence ids carry the partition's number.
 from __future__ import annotations
 
 import array
-import base64
 import bisect
 import json
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import pyarrow as pa
 import public_tokenizers
-import regex
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from lodestone.llm.common import ship
 
@@ -46,48 +42,42 @@ SCHEMA = (
     "tier int, step_group long"
 )
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str | None, Encoder] = {}
 
 
 class Encoder:
-    """Text to little-endian 32-bit ids of a byte-level BPE, by a cache of blank-separated words.
+    """Text to little-endian 32-bit ids by the tokenizers library, with a cache of words.
 
-    Between words that are set apart by single spaces the pre-tokeniser always cuts, so each word can be encoded alone;
-    texts in which white space meets white space take the plain way. Added tokens of the vocabulary's json, which lies
-    beside the ranks, are found first, as the tokenizers library does; what lies between them is encoded by itself.
+    The vocabulary's byte-level pre-tokeniser always cuts before a blank that a non-blank follows, so what lies between such
+    places is encoded by itself and remembered. Texts that hold an added token go to the library whole.
     """
 
-    def __init__(self, ranks_path: str) -> None:
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(public_tokenizers.PATTERN)
-        self.blanks = regex.compile(r"\s\s|\A\s|\s\Z")
+    def __init__(self, vocabulary: str) -> None:
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        kind = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        cut = kind["pre_tokenizer"] or {}
+        #: Whether the cuts hold: only for the byte-level pre-tokeniser with its own pattern, without a normaliser.
+        self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not kind["normalizer"]
         self.words: dict[str, bytes] = {}
-        vocabulary = Path(ranks_path).with_suffix(".json")
-        tokens = json.loads(vocabulary.read_text("utf-8"))["added_tokens"] if vocabulary.exists() else []
-        if odd := [t for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]:
-            raise ValueError(f"added tokens that depend on their neighbours: {odd}")
-        self.added = {t["content"]: array.array("I", [t["id"]]).tobytes() for t in tokens if t["content"]}
-        self.cuts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
 
     def plain(self, text: str) -> bytes:
-        return array.array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not any(t in text for t in self.added):
-            return self.words_of(text)
-        out, at = [], 0
-        for m in self.cuts.finditer(text):
-            out += [self.words_of(text[at : m.start()]), self.added[m[0]]]
-            at = m.end()
-        return b"".join([*out, self.words_of(text[at:])])
-
-    def words_of(self, text: str) -> bytes:
-        """Ids of a text without added tokens."""
-        if self.blanks.search(text):
+        if not self.cuts or any(t in text for t in self.added):
             return self.plain(text)
         words, known = text.split(" "), self.words
+        if any(not w or w[0].isspace() for w in words[1:]):  # a blank before a blank, or at the end, is no cut
+            joined = [words[0]]
+            for w in words[1:]:
+                if not w or w[0].isspace():
+                    joined[-1] += " " + w
+                else:
+                    joined.append(w)
+            words = joined
         out = [known.get(w) for w in words[1:]]
         for i, ids in enumerate(out):
             if ids is None:
@@ -95,13 +85,14 @@ class Encoder:
                 out[i] = ids = known.get(w) or self.plain(" " + w)
                 if len(known) < CACHE and len(w) < 64:
                     known[w] = ids
-        return b"".join([self.plain(words[0]), *out])
+        return b"".join([self.plain(words[0]) if words[0] else b"", *out])
 
 
-def encoder(ranks_path: str) -> Encoder:
-    if ranks_path not in _ENCODERS:
-        _ENCODERS[ranks_path] = Encoder(ranks_path)
-    return _ENCODERS[ranks_path]
+def encoder(vocabulary: str | None) -> Encoder:
+    """The worker's encoder of a vocabulary file on this machine; by default byte_bpe_50k.json of public_tokenizers."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    return _ENCODERS[vocabulary]
 
 
 @dataclass(slots=True)
@@ -213,18 +204,17 @@ class Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, ranks_path: str | None = None, round_size: int = ROUND) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, round_size: int = ROUND) -> DataFrame:
     """One row per piece of each document; SCHEMA's columns.
 
     docs: doc_id, text; other columns are ignored. A null text counts as empty: it is the single id 0. Repeated rows and
     null ids are packed as documents of their own. An empty table gives no rows. Reruns over the same partitions agree.
-    ranks_path: vocabulary file of merge ranks on every executor; by default byte_bpe_50k.
+    vocabulary: path of a tokenizers file, the same on every executor; by default each executor's own byte_bpe_50k.json.
     """
     ship(docs.sparkSession)
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, held = encoder(path), Packer(TaskContext.get().partitionId()), 0
+        encode, packer, held = encoder(vocabulary), Packer(TaskContext.get().partitionId()), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, encode(text.as_py() or "") + b"\0\0\0\0")
@@ -241,7 +231,7 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, round_size: i
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-_ARROW = pa.schema([(n, pa.int32() if k == "int" else pa.int64()) for n, k in (x.split() for x in re.split(", ", SCHEMA))])
+_ARROW = pa.schema([(n, pa.int32() if k == "int" else pa.int64()) for n, k in (x.split() for x in SCHEMA.split(", "))])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

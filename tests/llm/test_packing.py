@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lodestone.llm.packing import Encoder, Packer, pack_documents
+from lodestone.llm.queries import op7_packing
 
 
 @pytest.fixture(scope="module")
@@ -15,16 +16,16 @@ def tok():
 
 
 def test_encoder_agrees_with_tokenizers(tok):
-    enc = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rnd = random.Random(1)
-    alphabet = ["a", "B", " ", "  ", "\n", "é", "ß", "1", "!!", "'s", "\t", " ", "😀", "日本", "the", " \n", " ", "\u0085", "\x1c", "don't", "_"]
+    alphabet = ["a", "B", " ", "  ", "\n", "é", "ß", "1", "!!", "'s", "\t", " ", "😀", "日本", "the", " \n", " ", "\u0085", "\x1c", "don't", "_", "   ", "\u3000", "\x1c ", "\n ", " \n"]
     texts = ["", " ", "a", "a b", " a", "a ", "a\nb c\n\nd", "x  y"] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
     for t in texts:
         assert list(np.frombuffer(enc(t), "<u4")) == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_added_tokens_agree_with_tokenizers(spark, tok):
-    enc = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rnd = random.Random(2)
     alphabet = ["a", " ", "  ", "\n", "é", "'s", "the", "<|endoftext|>", "<|endoftext", "|>", "<", "<|ENDOFTEXT|>"]
     texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|endoftext|>"] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 20))) for _ in range(2000)]
@@ -82,3 +83,16 @@ def test_repeated_rows(spark, tok):
     df = spark.createDataFrame([(1, "a b c")] * 3, "doc_id long, text string")
     rows = pack_documents(df.coalesce(1)).collect()
     assert sum(r.length for r in rows) == 3 * (len(tok.encode("a b c", add_special_tokens=False).ids) + 1)
+
+
+def test_whole_table(spark, tok):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert check(op7_packing(spark, sf).collect(), docs, tok) == 0
+
+
+def test_other_vocabularies_take_the_plain_way():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    for t in ("a b  c\n d", "", " x", "don't stop <|endoftext|> now"):
+        assert list(np.frombuffer(Encoder(path)(t), "<u4")) == other.encode(t, add_special_tokens=False).ids
