@@ -61,7 +61,8 @@ def _join(df: DataFrame, sources: DataFrame, few: bool, how: str = "inner") -> D
 
 
 def _hash() -> Column:
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    """Of the id; rows without one go by their texts, so that many of them are not taken or left together."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.coalesce("text", F.lit("")))).cast("binary"))
 
 
 def thresholds(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame, bool]:
@@ -109,8 +110,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     """Per document: doc_id, source, size, source_size, target, copies (times it is taken), taken (copies * size).
 
     docs: doc_id, text, source; other columns are ignored. Null text: size 0. Null source: a source of its own, last.
-    The hash is of doc_id, so repeated rows are taken or left together and reruns agree; the last hash goes in if that
-    brings the sum nearer to the target. A source without tokens has target 0. An empty table gives no rows.
+    The hash is of doc_id (of the text, if that is null), so rows of one id are taken or left together and reruns agree; the
+    last hash goes in if that brings the sum nearer to the target. A source without tokens has target 0. An empty table gives no rows.
     """
     rows, sources, few = thresholds(docs, weights, max_epochs)
     copies = _copies(max_epochs)
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The rows of docs with their own columns, each as often as the mix takes it."""
+    """The rows of docs with their own columns, each as often as the mix takes it; odd rows as in mix()."""
     _, sources, few = thresholds(docs, weights, max_epochs)
     own = docs.select("source", F.struct(*docs.columns).alias("_doc"), _hash().alias("hash"))
     taken = _join(own, sources, few).withColumn("_copies", _copies(max_epochs)).where("_copies > 0")

@@ -6,8 +6,9 @@ Python closures. Rendering gives the formatted text and the spans (code points)
 Language: text, `{{ expr }}`, `{% for x in expr %}`, `{% if %}/{% elif %}/{% else %}`, `{% set x = expr %}`, `{% generation %}`
 with their `end` tags, and `{# comments #}`. A `-` inside a tag's braces strips the white space beside it. Expressions: names,
 strings, numbers, true/false/none, `a.b` and `a['b']` on mappings, `loop.index/index0/first/last`, `not and or`,
-`== != < <= > >= in`, `+ - * / % ~`, parentheses, and the filters of FILTERS as `x | f` or `x | f(arg)`. There are no calls, no
-attributes of Python objects and no imports, so a template reaches nothing but its variables.
+`== != < <= > >= in`, `+ - * / % ~` (`- * / %` on numbers only), parentheses, and the filters of FILTERS as `x | f` or `x | f(arg)`. There are no calls, no
+attributes of Python objects and no imports, so a template reaches nothing but its variables; values are bounded
+(MAX_TEXT, MAX_INT), and whatever goes wrong is a TemplateError.
 """
 
 from __future__ import annotations
@@ -62,22 +63,65 @@ FILTERS: dict[str, Callable] = {
     "join": lambda v, by="": by.join(map(str, v)),
 }
 
-OPERATORS = {
-    "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": operator.mod,
-    "~": lambda a, b: show(a) + show(b), "in": lambda a, b: a in b,
-}
-LEVELS = (("or",), ("and",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("+", "-", "~"), ("*", "/", "%"))
+class TemplateError(ValueError):
+    """The template is not in the language, or does what the language forbids."""
 
 
-class TemplateError(ValueError):
-    """The template is not in the language."""
+#: Code points that a value may have at most, and integers: a template cannot fill a worker's memory.
+MAX_TEXT, MAX_INT = 1 << 28, 1 << 63
+
+
+def bounded(value: object) -> object:
+    """The value, or TemplateError if it is too large."""
+    if isinstance(value, str) and len(value) > MAX_TEXT or isinstance(value, int) and abs(value) >= MAX_INT:
+        raise TemplateError("a value is too large")
+    return value
+
+
+def on_numbers(f: Callable) -> Callable:
+    """f of two numbers; anything else, and division by zero, is a TemplateError."""
+
+    def run(a: object, b: object) -> object:
+        if not all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (a, b)):
+            raise TemplateError(f"not numbers: {a!r:.40}, {b!r:.40}")
+        try:
+            return bounded(f(a, b))
+        except ArithmeticError as e:
+            raise TemplateError(str(e)) from e
+
+    return run
+
+
+def on_values(f: Callable) -> Callable:
+    """f of values; what it cannot do is a TemplateError."""
+
+    def run(*args: object) -> object:
+        try:
+            return bounded(f(*args))
+        except (TypeError, AttributeError) as e:
+            raise TemplateError(str(e)) from e
+
+    return run
+
+
+def plus(a: object, b: object) -> object:
+    """The sum of numbers, or two texts joined."""
+    return a + b if isinstance(a, str) and isinstance(b, str) else on_numbers(operator.add)(a, b)
 
 
 def show(value: object) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
 
+OPERATORS = {
+    "==": operator.eq, "!=": operator.ne, "<": on_values(operator.lt), "<=": on_values(operator.le), ">": on_values(operator.gt),
+    ">=": on_values(operator.ge), "+": on_values(lambda a, b: plus(a, b)), "-": on_numbers(operator.sub), "*": on_numbers(operator.mul),
+    "/": on_numbers(operator.truediv), "%": on_numbers(operator.mod), "~": on_values(lambda a, b: show(a) + show(b)),
+    "in": on_values(lambda a, b: a in b),
+}
+LEVELS = (("or",), ("and",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("+", "-", "~"), ("*", "/", "%"))
+
+
 # --- syntax tree ---------------------------------------------------------------------------------------------------
 
 
@@ -391,7 +435,7 @@ def compile_expr(e: object) -> Callable[[dict], object]:
         return item
     args = [compile_expr(a) for a in e.args]
     if isinstance(e, Apply):
-        f, first, more = FILTERS[e.name], args[0], args[1:]
+        f, first, more = on_values(FILTERS[e.name]), args[0], args[1:]
         if not more and e.name in ("escape", "trim", "upper", "lower"):
             return lambda env: f(show(first(env)))
         return lambda env: f(first(env), *[a(env) for a in more])
@@ -523,29 +567,33 @@ def _formatted(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], FORMATTED.field(2).type)], schema=FORMATTED)
 
 
-def read_turns(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) turns of a text that TEMPLATE formatted."""
+def read_turns(formatted: str) -> list[tuple[str, str]] | None:
+    """The (role, text) turns of a text that TEMPLATE formatted; None if another template did."""
     out, at = [], 0
     while at < len(formatted):
         m = TURN.match(formatted, at)
         if not m:
-            raise ValueError(f"no turn at {at}")
+            return None
         out.append((unescape(m[1]), unescape(m[2])))
         at = m.end()
     return out
 
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of the turns and the masked texts, read back from the formatted text and its spans."""
+    """Counts and digests of the turns and the masked texts, read back from the formatted text and its spans.
+
+    n_turns and turns_sha256 are null where the text is not in TEMPLATE's form; the masked texts are read from any template
+    that escapes them. Null texts count as empty, null spans as none. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for conv_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                turns = read_turns(text)
-                whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                rows.append((conv_id, len(turns), _sha(whole), len(loss), _sha(loss), len(text)))
+                turns = read_turns(text := text or "")
+                whole = None if turns is None else _sha("".join(f"{r}\n{t}\n" for r, t in turns))
+                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans or ())
+                rows.append((conv_id, None if turns is None else len(turns), whole, len(loss), _sha(loss), len(text)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
@@ -558,7 +606,8 @@ def _sha(text: str) -> str:
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
-    """The turns and conversation -1, whose texts hold control strings."""
+    """The turns and conversation -1, whose texts hold control strings. Turns that the table itself has in conversation -1
+    stay: they and the two new ones are one conversation, in the usual order."""
     said = "</s>[INST] ok [/INST]"
     probe = turns.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)

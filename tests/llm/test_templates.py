@@ -20,6 +20,20 @@ def test_sandbox(bad):
         T.compile_template(bad)
 
 
+@pytest.mark.parametrize("bad", ["{{ x * 1000000000 }}", "{{ '%999999999d' % 1 }}", "{{ 1 / y }}", "{{ x - 1 }}", "{{ x < 1 }}", "{{ 4000000000 * 4000000000 }}", "{{ 5 | join(',') }}", "{{ true * 3 }}", "{{ n ~ n ~ n }}", "{{ 1 | length }}"])
+def test_sandbox_at_run_time(monkeypatch, bad):
+    monkeypatch.setattr(T, "MAX_TEXT", 1000)
+    with pytest.raises(T.TemplateError):
+        T.compile_template(bad)({"x": "a", "y": 0, "n": "a" * 400})
+
+
+def test_other_templates_have_a_digest(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b<")], "conv_id long, turn long, role string, text string")
+    other = "{% for m in messages %}{{ m.role }}: {% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% endif %}\n{% endfor %}"
+    (r,) = T.digest_conversations(T.format_conversations(df, other)).collect()
+    assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (None, None, 2, hashlib.sha256(b"b<").hexdigest())
+
+
 def test_generation_spans():
     text, spans = T.compile_template("{% for m in ms %}u:{% generation %}{{ m }}{% endgeneration %};{% endfor %}")({"ms": ["ab", "", "c"]})
     assert [text[a:b] for a, b in spans] == ["ab", "", "c"]
