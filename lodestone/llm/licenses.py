@@ -1,7 +1,9 @@
 """License scan by ordered signature rules, in DataFrame operations only.
 
 Texts are normalised to lower-case words joined by single blanks. Every rule is a regular expression over that form with
-a keyword that must occur before the expression is tried, a priority (its place in the list) and a confidence. Matches
+a keyword that must occur before the expression is tried, a priority (its place in the list) and a confidence. A rule whose
+keyword occurs is first tried by itself, all patterns being constants of the plan that are compiled once; only those that
+match look for their places, so only those patterns are compiled for a row. Matches
 become word intervals; an interval that lies inside another is suppressed, of equal intervals the rule that comes first
 stays. Everything happens within a row, so the plan has no shuffle.
 """
@@ -127,6 +129,89 @@ zlib | altered source | altered source versions must be plainly marked as such |
 other-permissive | free for any use | free for any use | 0.5
 other-permissive | free to use copy | free to use copy and modify | 0.5
 other-noncommercial | non commercial | (?:for )?non commercial (?:use|purposes) only | 0.7
+mit | above copyright notice and this permission | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software | 1.0
+mit | without restriction | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software | 1.0
+mit | authors or copyright holders be liable | in no event shall the authors or copyright holders be liable for any claim damages or other liability | 0.9
+mit-0 | furnished to do so the software is | permit persons to whom the software is furnished to do so the software is provided as is | 0.7
+apache-2.0 | in compliance with the license | you may not use this file except in compliance with the license | 1.0
+apache-2.0 | agreed to in writing | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis | 1.0
+apache-2.0 | perpetual worldwide | perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent|except as stated in this section patent) licen[sc]e | 0.95
+apache-2.0 | limitations under the license | see the license for the specific language governing permissions and limitations under the license | 1.0
+apache-1.1 | apache software foundation | this product includes software developed by the apache software foundation | 0.9
+bsd-2-clause | source code must retain | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer | 0.9
+bsd-2-clause | binary form must reproduce | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution | 0.9
+bsd-2-clause | views and conclusions | the views and conclusions contained in the software and documentation are those of the authors and should not be interpreted as representing official policies | 0.95
+bsd-3-clause | endorse or promote | may be used to endorse or promote products derived from this software without specific prior written permission | 0.95
+bsd-4-clause | following acknowledgement | must display the following acknowledgement this product includes software developed by [a-z0-9 ]{1,60} | 0.9
+bsd | as is and any express | this software is provided by the (?:copyright holders and contributors|regents and contributors|author) as is and any express or implied warranties | 0.9
+bsd-0-clause | with or without fee is hereby granted | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is | 1.0
+isc | with or without fee is hereby granted | with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies | 1.0
+isc | author disclaims all warranties | the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness | 0.9
+gpl | any later version | either version [1-3](?: 0)? of the license or at your option any later version | 0.9
+gpl-2.0 | version 2 of the license | published by the free software foundation either version 2 of the license | 1.0
+gpl-3.0 | version 3 of the license | published by the free software foundation either version 3 of the license | 1.0
+gpl | received a copy of the gnu general | you should have received a copy of the gnu general public licen[sc]e along with this (?:program|library|software) | 0.95
+gpl | comes with absolutely no warranty | comes with absolutely no warranty(?: for details type show w)? | 0.8
+gpl | welcome to redistribute | this is free software and you are welcome to redistribute it under certain conditions | 0.9
+gpl | copyleft | (?:strong )?copyleft licen[sc]e | 0.5
+lgpl | received a copy of the gnu lesser | you should have received a copy of the gnu lesser general public licen[sc]e along with this (?:program|library|software) | 0.95
+lgpl | this library is free software | this library is free software you can redistribute it and or modify it | 1.0
+lgpl | lesser general public license as published | under the terms of the gnu lesser general public license as published by the free software foundation | 0.95
+agpl-3.0 | remote network interaction | remote network interaction use with the gnu general public license | 0.95
+agpl-3.0 | affero general public license as published | under the terms of the gnu affero general public license as published by the free software foundation | 1.0
+gfdl | invariant sections | with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts | 1.0
+mpl-2.0 | this source code form | this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0 | 1.0
+mpl-2.0 | mpl was not distributed | if a copy of the mpl was not distributed with this file you can obtain one at | 0.95
+mpl-2.0 | incompatible with secondary | this source code form is incompatible with secondary licenses | 0.9
+mpl-1.1 | contents of this file are subject to the mozilla | the contents of this file are subject to the mozilla public license version 1 1 | 1.0
+epl-2.0 | accompanying materials are made available | this program and the accompanying materials are made available under the terms of the eclipse public license(?: v(?:ersion)?)? 2 0 | 1.0
+epl-1.0 | accompanying materials are made available | this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? 1 0 | 1.0
+cddl-1.0 | common development and distribution license the license | subject to the terms of the common development and distribution license the license | 1.0
+boost-1.0 | machine executable object code | works are solely in the form of machine executable object code generated by a source language processor | 1.0
+boost-1.0 | distributed under the boost | distributed under the boost software license version 1 0 | 1.0
+zlib | misrepresented | the origin of this software must not be misrepresented you must not claim that you wrote the original software | 1.0
+zlib | without any express or implied warranty | this software is provided as is without any express or implied warranty in no event will the authors be held liable | 0.95
+unlicense | free and unencumbered | this is free and unencumbered software released into the public domain | 1.0
+unlicense | jurisdictions that recognize | in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest | 1.0
+wtfpl | you just do what | you just do what the [a-z]+ you want to | 0.95
+cc0-1.0 | related or neighboring | (?:waived|waiving|waives) all copyright and related or neighboring rights | 0.9
+cc0-1.0 | with this deed | the person who associated a work with this deed has dedicated the work to the public domain | 1.0
+cc-by | give appropriate credit | you must give appropriate credit provide a link to the license and indicate if changes were made | 0.8
+cc-by-sa | same license as the original | you must distribute your contributions under the same license as the original | 0.85
+cc-by-nc | material for commercial purposes | you may not use the material for commercial purposes | 0.85
+cc-by-nd | distribute the modified material | you may not distribute the modified material | 0.85
+ofl-1.1 | reserved font name | with reserved font name[a-z0-9 ]{0,40} | 0.9
+ofl-1.1 | font software | this font software is licensed under the sil open font license | 1.0
+artistic-2.0 | standard version of th | (?:source form of )?the standard version of (?:this|the) package | 0.8
+python-2.0 | psf hereby grants | psf hereby grants licensee a nonexclusive royalty free world wide license | 1.0
+php-3.01 | products derived from this software may not be called php | products derived from this software may not be called php | 0.95
+postgresql | without a written agreement | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted | 1.0
+ncsa | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers | 0.95
+ms-pl | each contributor grants you a non exclusive | each contributor grants you a non exclusive worldwide royalty free (?:copyright|patent) license | 0.9
+x11 | name of the x consortium | the name of the x consortium shall not be used in advertising | 1.0
+openssl | openssl project | developed by the openssl project for use in the openssl toolkit | 1.0
+sspl-1.0 | make the functionality of the program | if you make the functionality of the program or a modified version available to third parties as a service | 0.95
+commons-clause | without limiting other conditions in the license | without limiting other conditions in the license the grant of rights under the license will not include | 1.0
+elastic-2.0 | hosted or managed service | you may not provide the software to third parties as a hosted or managed service | 1.0
+bsl-1.1 | change license | (?:on the )?change date(?: or the fourth anniversary)? [a-z0-9 ]{0,60}change license | 0.9
+open-rail | use based restrictions | use based restrictions(?: as referenced)?(?: in paragraph 5)? | 0.8
+odbl-1.0 | database is made available under the | this [a-z0-9 ]{0,40}database is made available under the open database license | 1.0
+odc-by | any rights in individual contents | any rights in individual contents of the database are licensed under the database contents license | 0.9
+warranty | merchantability | (?:without even the )?implied warrant(?:y|ies) of merchantability(?: and| or) fitness for a particular purpose | 0.7
+warranty | no event shall | in no event shall [a-z0-9 ]{1,80} be liable for any direct indirect incidental special exemplary or consequential damages | 0.8
+warranty | entire risk | the entire risk as to the quality and performance of the (?:program|software) is with you | 0.8
+patent | patent | (?:grants? you|hereby grants) a [a-z0-9 ]{0,80}patent licen[sc]e | 0.6
+attribution | attribution | (?:free to use|use permitted|may be used) with (?:proper )?attribution | 0.5
+other-noncommercial | personal | (?:for )?personal(?: and non ?commercial)? use only | 0.6
+other-noncommercial | evaluation purposes | for (?:internal )?evaluation purposes only | 0.6
+other-proprietary | trade secret | (?:contains|constitutes) (?:confidential (?:information )?and )?(?:proprietary )?trade secrets? | 0.8
+other-proprietary | confidential and proprietary | confidential and proprietary(?: information)?(?: of [a-z0-9 ]{1,40})? | 0.7
+other-proprietary | end user licen | (?:this )?end user licen[sc]e(?: agreement)? | 0.7
+other-proprietary | reverse engineer | (?:may not|shall not|agree not to) (?:copy modify )?(?:decompile )?(?:or )?reverse engineer | 0.7
+reserved | reproduced in any form | may (?:not )?be reproduced in any form(?: or by any means)?(?: without [a-z ]{1,40}permission)? | 0.8
+reserved | redistribution prohibited | redistribution prohibited(?: without permission)? | 0.8
+reserved | permission of the publisher | without (?:the )?(?:prior )?(?:written )?permission of the publisher | 0.9
+copyright | copyright holder | (?:the )?copyright holders?(?: and contributors)? | 0.4
 other-license | licen | licen[sc]ed under [a-z0-9]+ | 0.3
 other-license | licen | see (?:the )?(?:file )?licen[sc]e(?: txt| md)?(?: file)? for (?:details|more) | 0.4
 """.strip()
@@ -184,8 +269,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     repeated rows, an empty table none.
     """
     table = rules()
-    rule = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(a).alias("label"), F.lit(k).alias("key"), F.lit(x).alias("expression"), F.lit(c).alias("confidence")) for i, (a, k, x, c) in enumerate(table)])
-    keys = F.array(*[F.lit(k) for k in sorted({k for _, k, _, _ in table})])
     norm = F.col("norm")
     words = F.when(norm == "", F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long")
     none = F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")
@@ -196,8 +279,21 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     base = F.concat(*[labelled(p, a) for p, a in BASE])
 
-    def found(present: Column) -> Column:
-        tried = F.filter(rule, lambda r: F.array_contains(present, r["key"]))
+    # Per keyword, if the text holds it: the rules that match, found by patterns that are constants of the plan.
+    padded = F.concat(F.lit(" "), norm, F.lit(" "))
+    nothing = F.array().cast("array<struct<priority:int,label:string,expression:string,confidence:double>>")
+    by_key: dict[str, list[int]] = {}
+    for i, (_, key, _, _) in enumerate(table):
+        by_key.setdefault(key, []).append(i)
+
+    def fits(i: int) -> Column:
+        label, _, expression, confidence = table[i]
+        rule = F.struct(F.lit(i).alias("priority"), F.lit(label).alias("label"), F.lit(expression).alias("expression"), F.lit(confidence).alias("confidence"))
+        return F.when(padded.rlike(f"(?<= )(?:{expression})(?= )"), rule)
+
+    matching = F.concat(*[F.when(norm.contains(key), F.array_compact(F.array(*map(fits, own)))).otherwise(nothing) for key, own in by_key.items()])
+
+    def found(tried: Column) -> Column:
         return F.flatten(F.transform(tried, lambda r: F.transform(_places(norm, r["expression"]), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
 
     # By start, longest first, then by priority: whatever does not reach beyond all before it lies inside one of them.
@@ -206,8 +302,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     def step(acc: Column, d: Column) -> Column:
         return F.when(-d["stop"] <= acc["reach"], acc).otherwise(F.struct((-d["stop"]).alias("reach"), F.concat(acc["kept"], F.array(d)).alias("kept")))
 
-    present = F.filter(keys, lambda k: norm.contains(k))
-    kept = F.aggregate(F.sort_array(F.coalesce(let(present, found), F.array().cast(_SPAN))), start, step, lambda acc: acc["kept"])
+    kept = F.aggregate(F.sort_array(F.coalesce(let(matching, found), F.array().cast(_SPAN))), start, step, lambda acc: acc["kept"])
     detections = F.transform(kept, lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["confidence"].alias("confidence")))
     return docs.select("doc_id", normalised(F.col("text")).alias("norm")).select("doc_id", words.alias("n_words"), base.alias("base"), detections.alias("detections"))
 

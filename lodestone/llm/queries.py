@@ -81,6 +81,39 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_embeddings": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS (
+  SELECT *, label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0 AS ok FROM v
+), l AS (
+  SELECT a.k AS a, b.k AS b, b.vec_id AS other FROM u a JOIN u b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e)
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT k, k AS at FROM u UNION SELECT r.k, l.b FROM r JOIN l ON l.a = r.at
+), c AS (
+  SELECT r.k, min(u.vec_id) AS component FROM r JOIN u ON u.k = r.at GROUP BY r.k
+)
+SELECT u.vec_id, (SELECT count(*) FROM l WHERE l.a = u.k) AS n_links, c.component AS component_id,
+       coalesce(u.vec_id = c.component, TRUE) AS kept
+FROM u JOIN c ON u.k = c.k
+""",
+    "op6_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, role = 'assistant' AS own, length(role) + length(text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g'))
+    + length('<|turn|><|text|></s>') + 1 + CASE WHEN role = 'assistant' THEN length('[INST][/INST]') ELSE 0 END AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (own), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
     "op2_lines": r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -99,7 +132,7 @@ GROUP BY l.k
     "op5_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || coalesce(text, ''))) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) * 3 AS cap,

@@ -8,7 +8,7 @@ import pytest
 from oracle import compare
 
 from lodestone.llm import licenses, mixing, quality
-from lodestone.llm.queries import ORACLE, QUERIES
+from lodestone.llm.queries import ORACLE, QUERIES, op3_licenses
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "a", "x y z x y z", "\n\n", "All rights reserved. " * 3, "é ß 日本", "a\x00b", "CC BY CC BY", "w " * 20_000]
@@ -90,6 +90,21 @@ def test_keyword_gate_loses_no_match(spark, monkeypatch):
     assert [got[i] for i in range(8)] == [["gpl-2.0"], ["gpl-3.0"], ["mit"], ["python-2.0"], ["wtfpl"], ["cc-by-sa"], ["cc-by-nc-nd"], ["other-permissive"]]
 
 
+def test_licenses_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    table = licenses.rules()
+    got = op3_licenses(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n, hits, kept = brute_licenses(texts[r.doc_id])
+        base = sorted({label for _, label in hits})
+        labels = sorted({*base, *(table[k][0] for *_, k in kept)})
+        best = max([0.5 if hits else 0.0, *(table[k][3] for *_, k in kept)])
+        assert (r.n_words, r.n_base, r.base_labels, r.labels, r.n_detections) == (n, len(hits), ",".join(base), ",".join(labels), len(kept))
+        assert (r.first_word, r.last_word) == ((hits[0][0], hits[-1][0]) if hits else (None, None)) and abs(r.score - best) < 1e-12
+
+
 def test_known_lines(spark):
     lines = {0: "Licensed under the Apache License, Version 2.0.", 1: "Released under the MIT License.", 2: "Licensed under CC BY-NC 4.0.", 3: "This work is licensed under the GNU General Public License, version 3.", 4: "An apache of the mit."}
     got = {r.doc_id: r for r in licenses.license_report(licenses.scan_licenses(spark.createDataFrame(list(lines.items()), "doc_id long, text string"))).collect()}
@@ -126,6 +141,17 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed_documents(odd.limit(0)).count() == 0
 
 
+def test_mixing_rows_without_an_id(spark):
+    rows = [(None, f"{i} " + "w " * 11, "a") for i in range(200)] + [(i, "w " * 12, "b") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, weights=(1.0, 20.0)).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 24 for s in target) and 0 < target["a"] < 2400
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
