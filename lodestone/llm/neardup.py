@@ -211,7 +211,10 @@ def _blocks(members: DataFrame, toks: DataFrame, threshold: float) -> DataFrame:
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     each = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "code"), F.col("parts")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("part", x).alias("a"), F.greatest("part", x).alias("b"))))
-    work = each.withColumn("w", pairs).select("code", "w.a", "w.b", "part", "id", "component").join(toks, "id")
+    work = each.withColumn("w", pairs).select("code", "w.a", "w.b", "parts", "part", "id", "component").join(toks, "id")
+    # The pieces of a bucket go to consecutive partitions, so they never pile up in one.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.pmod(F.xxhash64("code"), F.lit(tasks)) + F.col("a").cast("long") * F.col("parts") + F.col("b"), F.lit(tasks)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -236,7 +239,7 @@ def _blocks(members: DataFrame, toks: DataFrame, threshold: float) -> DataFrame:
         if len(held) > 1:
             yield compare()
 
-    dealt = work.select("code", "a", "b", "part", "id", "component", "tokens").repartition("code", "a", "b").sortWithinPartitions("code", "a", "b")
+    dealt = work.select("code", "a", "b", "part", "id", "component", "tokens", "parts").repartitionById(tasks, place).sortWithinPartitions("code", "a", "b")
     return dealt.mapInArrow(run, "src long, dst long")
 
 
