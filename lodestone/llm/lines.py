@@ -1,10 +1,12 @@
 """Line dedup by probing sharded minimal perfect hashes.
 
 Lines become 128-bit hashes of their keys. Counting finds, by hash, how many documents hold a line and the largest of their
-ids; the hashes that reach the threshold are dealt to shards, and each shard builds a minimal perfect hash over its distinct
-hashes, which indexes compact arrays of fingerprints, counts and last ids. Documents probe those arrays: a probe is a hash
-and a doc_id, it is sent to its hash's shard, and only the hits that must go come back, grouped by document. No line's text
-is shuffled, and no join meets a line with a line.
+ids; the distinct hashes that two documents or more hold are dealt to shards, and each shard builds a minimal perfect hash
+over its hashes, which indexes compact arrays of fingerprints (64 bits), counts (32 bits) and last ids. Hashes of one
+document would be four fifths of an index or more and can drop nothing, whatever the threshold, so they stay outside: a
+probe with one finds no fingerprint. Documents probe the arrays: a probe is a hash, a doc_id and its text's hash, it is sent
+to its hash's shard, the count found there decides, and only the hits that must go come back, grouped by document. No line's
+text is shuffled, and no join meets a line with a line.
 
 A shard with many probes (a very common line) is copied to several sub-shards, and its probes are dealt among them by
 doc_id. Tasks stream their probes past the index of the moment, so memory holds one shard.
@@ -25,6 +27,8 @@ from lodestone.llm.common import materialize, text_bytes
 
 #: A line's key counts from so many code points, and is dropped from so many documents on.
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Up to so many dropped keys are broadcast to the documents (16 bytes each); beyond, they are joined by shuffle.
+BROADCAST_DROPS = 1_000_000
 #: Hashes of one shard at most, about; probes of one sub-shard that hit, about, at least.
 SHARD_KEYS, SHARD_PROBES = 50_000, 1_000
 #: Up to so many shards their sizes are broadcast (two integers each); beyond, they are joined by shuffle.
@@ -103,7 +107,7 @@ class LineIndex:
         hash_ = PerfectHash.build(hi, lo)
         number = hash_.find(hi, lo)
         order = np.argsort(number)
-        return cls(hash_, (hi ^ lo)[order], counts[order], last[order])
+        return cls(hash_, (hi ^ lo)[order], np.minimum(counts[order], 0xFFFFFFFF).astype(np.uint32), last[order])
 
     def probe(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, count, last doc_id) of each probe."""
@@ -120,25 +124,25 @@ class LineIndex:
 
     @classmethod
     def from_bytes(cls, data: bytes) -> LineIndex:
-        n_levels, n = np.frombuffer(data, np.int64, 2)
+        n_levels, n = np.frombuffer(data, np.int64, 2).tolist()
         sizes = np.frombuffer(data, np.int64, n_levels, 16)
-        at = 16 + 8 * int(n_levels)
-        prints, counts, last = (np.frombuffer(data, k, n, at + 8 * int(n) * i) for i, k in enumerate((np.uint64, np.int64, np.int64)))
-        at += 24 * int(n)
-        levels = []
+        at, arrays, levels = 16 + 8 * n_levels, [], []
+        for kind in (np.uint64, np.uint32, np.int64):
+            arrays.append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
         for size in sizes.tolist():
             levels.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-size // 8), at), count=size).astype(bool))
             at += -(-size // 8)
-        return cls(PerfectHash(levels), prints, counts, last)
+        return cls(PerfectHash(levels), *arrays)
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, hi, lo: a row for each distinct key of each row of docs."""
+    """doc_id, row (hash of the text), hi, lo: a row for each distinct key of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, ids, sizes = [], batch.column(0), []
-            for text in text_bytes(batch.column(1)):
+            out, ids, rows, sizes = [], batch.column(0), batch.column(1), []
+            for text in text_bytes(batch.column(2)):
                 keys = {key_hash(k) for line in (text or b"").split(b"\n") if (k := line_key(line)) is not None}
                 out.extend(keys)
                 sizes.append(len(keys))
@@ -146,15 +150,15 @@ def line_hashes(docs: DataFrame) -> DataFrame:
             owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             for a in range(0, len(both), 50_000):
                 part = both[a : a + 50_000]
-                yield pa.record_batch([ids.take(owner.slice(a, 50_000)), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["doc_id", "hi", "lo"])
+                yield pa.record_batch([ids.take(owner.slice(a, 50_000)), rows.take(owner.slice(a, 50_000)), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["doc_id", "row", "hi", "lo"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, hi long, lo long")
 
 
 def build_index(hashes: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, int]:
-    """(index: shard, subs, blob; number of shards) over the hashes of at least min_docs documents."""
+    """(index: shard, subs, blob; number of shards) over the hashes of two documents or more (of min_docs, if that is one)."""
     spark = hashes.sparkSession
-    counted = hashes.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    counted = hashes.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min(2, min_docs))
     counted = materialize(counted, "lines-counted")
     keys, hits = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -174,15 +178,15 @@ def build_index(hashes: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame,
 
 
 def find_repeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, drops (array of hi, lo): the keys whose lines the document loses."""
+    """doc_id, row, drops (array of hi, lo): the keys whose lines the rows of that id and text lose."""
     hashes = line_hashes(docs)
     index, shards = build_index(hashes, min_docs)
     index = materialize(index, "lines-index")
     sizes = index.select("shard", "subs")
     probes = hashes.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")).join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard")
-    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int").alias("sub"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", F.lit(None).cast("binary").alias("blob"))
+    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id", "row"), F.col("subs")).cast("int").alias("sub"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", "row", F.lit(None).cast("binary").alias("blob"))
     zero = F.lit(0).cast("long")
-    shared = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(0).alias("kind"), zero.alias("hi"), zero.alias("lo"), zero.alias("doc_id"), "blob")
+    shared = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(0).alias("kind"), zero.alias("hi"), zero.alias("lo"), zero.alias("doc_id"), zero.alias("row"), "blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: LineIndex | None = None
@@ -195,18 +199,19 @@ def find_repeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             starts = np.flatnonzero(kinds == 0)
             for a, b in zip([-1, *starts], [*starts, len(kinds)], strict=True):
                 if a >= 0:
-                    held = LineIndex.from_bytes(batch.column(6)[int(a)].as_py())
+                    held = LineIndex.from_bytes(batch.column(7)[int(a)].as_py())
                 if b > a + 1 and held is not None:
                     part = slice(a + 1, b)
-                    found, _, last = held.probe(hi[part], lo[part])
+                    found, count, last = held.probe(hi[part], lo[part])
                     # Without any id among the holders there is no last one, and all of them keep the line.
-                    go = found & (last > -1 << 62) & (~known[part] | (number[part] != last))
+                    go = found & (count >= min_docs) & (last > -1 << 62) & (~known[part] | (number[part] != last))
                     if go.any():
                         at = np.flatnonzero(go) + a + 1
-                        yield pa.record_batch([ids.take(pa.array(at)), pa.array(hi[at].view(np.int64)), pa.array(lo[at].view(np.int64))], names=["doc_id", "hi", "lo"])
+                        yield pa.record_batch([ids.take(pa.array(at)), batch.column(6).take(pa.array(at)), pa.array(hi[at].view(np.int64)), pa.array(lo[at].view(np.int64))], names=["doc_id", "row", "hi", "lo"])
 
     dealt = probes.unionByName(shared).repartition("shard", "sub").sortWithinPartitions("shard", "sub", "kind")
-    return dealt.mapInArrow(run, "doc_id long, hi long, lo long").groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("drops"))
+    found = dealt.mapInArrow(run, "doc_id long, row long, hi long, lo long")
+    return found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("hi", "lo")).alias("drops"))  # at most a text's distinct lines
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
@@ -218,10 +223,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, st
     treated alike; a null doc_id is smaller than any other. An empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in counts]
-    drops = find_repeated(docs, min_docs)
+    drops = materialize(find_repeated(docs, min_docs), "lines-drops")
+    few = (drops.agg(F.sum(F.size("drops") + 1)).first()[0] or 0) <= BROADCAST_DROPS
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
     id_at, text_at = own.index("doc_id"), own.index("text")
-    joined = plain.join(drops, plain[f"c{id_at}"].eqNullSafe(drops["doc_id"]), "left").drop(drops["doc_id"])
+    same = plain[f"c{id_at}"].eqNullSafe(drops["doc_id"]) & (F.xxhash64(plain[f"c{text_at}"]) == drops["row"])
+    joined = plain.join(F.broadcast(drops) if few else drops, same, "left").drop(drops["doc_id"], drops["row"])
     schema = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(own)]).add("n_lines", "long").add("n_dropped", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
