@@ -16,6 +16,7 @@ from __future__ import annotations
 import array
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -35,21 +36,29 @@ ROUND = 4096
 #: Tokens of a training step's group of sequences.
 GROUP_TOKENS = 8 * 1024
 #: Distinct words whose ids a Python worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long"
 )
 
+#: Punctuation that closes a word of letters.
+CLOSING = ".,;:!?"
+#: White space besides the blank and the line feed.
+OTHER_BLANKS = re.compile(r"[^\S \n]")
+
 _ENCODERS: dict[str | None, Encoder] = {}
 
 
 class Encoder:
     """Text to little-endian 32-bit ids by the tokenizers library, with a cache of words.
 
-    The vocabulary's byte-level pre-tokeniser always cuts before a blank that a non-blank follows, so what lies between such
-    places is encoded by itself and remembered. Texts that hold an added token go to the library whole.
+    The vocabulary's byte-level pre-tokeniser always cuts where white space begins, and before a blank that a non-blank
+    follows. In a text whose white space is single blanks and line feeds, each word with what stands before it is encoded by
+    itself and remembered; in other texts only the second kind of cut is used. A new word of letters is one piece of the
+    pre-tokeniser (as are its letters before closing punctuation), so the library's model gets it directly. Texts that hold
+    an added token go to the library whole.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -62,6 +71,33 @@ class Encoder:
         #: Whether the cuts hold: only for the byte-level pre-tokeniser with its own pattern, without a normaliser.
         self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not kind["normalizer"]
         self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def word(self, letters: str) -> bytes:
+        """Ids of a blank and letters."""
+        piece = f" {letters}".encode().decode("latin-1").translate(self.letters)
+        return array.array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def new(self, w: str) -> bytes:
+        """Ids of a word that is not remembered, with the blank before it unless it begins with a line feed."""
+        if w[0] == "\n":
+            return self.plain(w)
+        letters = w.rstrip(CLOSING)
+        if not letters.isalpha():
+            return self.plain(" " + w)
+        ids = self.words.get(letters) or self.word(letters)
+        if tail := w[len(letters) :]:
+            if tail not in self.tails:
+                if len(self.tails) >= CACHE:
+                    self.tails.clear()
+                self.tails[tail] = self.plain(tail)
+            ids += self.tails[tail]
+        return ids
 
     def plain(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -69,23 +105,27 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.cuts or any(t in text for t in self.added):
             return self.plain(text)
-        words, known = text.split(" "), self.words
-        if any(not w or w[0].isspace() for w in words[1:]):  # a blank before a blank, or at the end, is no cut
-            joined = [words[0]]
-            for w in words[1:]:
-                if not w or w[0].isspace():
-                    joined[-1] += " " + w
-                else:
-                    joined.append(w)
-            words = joined
-        out = [known.get(w) for w in words[1:]]
+        if not text:
+            return b""
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or text[0] in " \n" or text[-1] in " \n" or OTHER_BLANKS.search(text):
+            words = [""]
+            for k, w in enumerate(text.split(" ")):
+                if k and w and not w[0].isspace():
+                    words.append(w)
+                else:  # a blank before a blank, or at the end, is no cut
+                    words[-1] += f" {w}" if k else w
+        else:
+            words = text.replace("\n", " \n").split(" ")
+        known = self.words
+        out = [known.get(w) for w in words]
+        out[0] = self.plain(words[0])
         for i, ids in enumerate(out):
             if ids is None:
-                w = words[i + 1]
-                out[i] = ids = known.get(w) or self.plain(" " + w)
+                w = words[i]
+                out[i] = ids = known.get(w) or self.new(w)
                 if len(known) < CACHE and len(w) < 64:
                     known[w] = ids
-        return b"".join([self.plain(words[0]) if words[0] else b"", *out])
+        return b"".join(out)
 
 
 def encoder(vocabulary: str | None) -> Encoder:
