@@ -11,9 +11,12 @@ from pyspark.sql import types as T
 
 from lodestone.functions import casts, text
 from lodestone.operators import changelog, joins, layout, migrate, model, mvcc
-from lodestone.operators.relations import BelongsTo, HasMany, HasOne, ManyToMany, MorphMany, Pivot, leaf_of, morph_to
+from lodestone.operators.relations import BelongsTo, HasMany, HasOne, ManyToMany, MorphMany, Pivot, leaf_of, morph_to, resolve
+from lodestone.operators.repository import Repository
+from lodestone.plans import query as queries
 from lodestone.plans.ast import field
 from lodestone.plans.query import Query
+from lodestone.sources import logfile
 from lodestone.sources.dataset import Dataset
 from lodestone.sources.tables import read_table, scratch_dir
 from lodestone.streaming import live
@@ -39,10 +42,17 @@ def register(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder in the scratch folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def store(spark: SparkSession, sf_dir: str) -> dict[str, Dataset]:
     """The driver's tables as datasets with their relations."""
     d = {name: Dataset.open(spark, sf_dir, name, key) for name, key in KEYS.items()}
-    d["lineitem"] = Dataset.open(spark, sf_dir, "lineitem", "l_orderkey")
+    # Line numbers repeat within an order, so even these columns name several rows here and there: they only give an order.
+    d["lineitem"] = Dataset.open(spark, sf_dir, "lineitem", ("l_orderkey", "l_linenumber"))
+    lines = lambda name, condition: Dataset(name, lambda: read_table(spark, sf_dir, "lineitem").where(condition), d["lineitem"].key)
     d["region"].relate(nations=HasMany(d["nation"], "r_regionkey", foreign_key="n_regionkey"))
     d["nation"].relate(region=BelongsTo(d["region"], "n_regionkey"), customers=HasMany(d["customer"], "n_nationkey", foreign_key="c_nationkey"))
     d["customer"].relate(
@@ -51,6 +61,8 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, Dataset]:
         first_order=HasOne(d["orders"], "c_custkey", foreign_key="o_custkey", order_by="o_orderdate"),
     )
     d["orders"].relate(customer=BelongsTo(d["customer"], "o_custkey"), lines=HasMany(d["lineitem"], "o_orderkey", foreign_key="l_orderkey"))
+    for name, condition in (("returned", "l_returnflag = 'R'"), ("bulk", "l_quantity > 49")):
+        d["orders"].relate(**{name: HasMany(lines(name, condition), "o_orderkey", foreign_key="l_orderkey")})
     d["part"].relate(suppliers=ManyToMany(d["supplier"], "p_partkey", pivot=Pivot(d["lineitem"].all(), "l_partkey", "l_suppkey")))
     comments = Dataset("comments", lambda: comment_rows(spark, sf_dir), "cid")
     d["documents"].relate(label=HasOne(d["labels"], "doc_id", foreign_key="doc_id"), comments=MorphMany(comments, "doc_id", type_field="commentable_type", id_field="commentable_id", morph_name="document"))
@@ -181,14 +193,14 @@ def minimum_slice(spark, sf_dir):
     return sorted_rows(store(spark, sf_dir)["orders"].query().where(lambda x: (x.o_orderpriority == "1-URGENT") & (x.o_totalprice > 100000)).order_by_desc("o_orderdate").limit(20))
 
 
-@register("sort_asc", f"SELECT o_orderkey, cust FROM {NULLABLE} ORDER BY cust ASC NULLS LAST, o_orderkey LIMIT 100")
+@register("sort_asc", f"SELECT o_orderkey, cust, row_number() OVER (ORDER BY cust ASC NULLS LAST, o_orderkey) AS pos FROM {NULLABLE}")
 def sort_asc(spark, sf_dir):
-    return nullable_orders(spark, sf_dir).query().order_by("cust").limit(100).to_df().select("o_orderkey", "cust")
+    return nullable_orders(spark, sf_dir).query().order_by("cust").numbered().select("o_orderkey", "cust", "pos")
 
 
-@register("sort_desc_nulls", f"SELECT o_orderkey, cust FROM {NULLABLE} ORDER BY cust DESC NULLS FIRST, o_orderkey LIMIT 100")
+@register("sort_desc_nulls", f"SELECT o_orderkey, cust, row_number() OVER (ORDER BY cust DESC NULLS FIRST, o_orderkey) AS pos FROM {NULLABLE}")
 def sort_desc_nulls(spark, sf_dir):
-    return nullable_orders(spark, sf_dir).query().order_by_desc("cust").limit(100).to_df().select("o_orderkey", "cust")
+    return nullable_orders(spark, sf_dir).query().order_by_desc("cust").numbered().select("o_orderkey", "cust", "pos")
 
 
 @register("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -351,9 +363,9 @@ def where_has_multi(spark, sf_dir):
     return q.to_df().select("c_custkey")
 
 
-@register("where_has_any", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@register("where_has_any", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 def where_has_any(spark, sf_dir):
-    return store(spark, sf_dir)["part"].query().where_has_any("suppliers", "suppliers").to_df().select("p_partkey")
+    return store(spark, sf_dir)["orders"].query().where_has_any("returned", "bulk").to_df().select("o_orderkey")
 
 
 @register("where_doesnt_have", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -366,6 +378,29 @@ def nested_leaf(spark, sf_dir):
     return leaf_of(store(spark, sf_dir)["nation"], "customers.orders", lambda q: q.where("o_orderstatus", "P")).select("o_orderkey")
 
 
+@register("nested_leaf_lines", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
+def nested_leaf_lines(spark, sf_dir):
+    return leaf_of(store(spark, sf_dir)["customer"], "orders.lines").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@register("lazy_related", "SELECT o_orderkey, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0")
+def lazy_related(spark, sf_dir):
+    d = store(spark, sf_dir)["customer"]
+    return d.relations["orders"].of(d.query().where("c_acctbal", lt=0).to_df()).select("o_orderkey", "o_totalprice")
+
+
+@register("lazy_related_many", "SELECT DISTINCT s_suppkey, s_name FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size = 7")
+def lazy_related_many(spark, sf_dir):
+    d = store(spark, sf_dir)["part"]
+    return d.relations["suppliers"].of(d.query().where("p_size", 7).to_df()).select("s_suppkey", "s_name")
+
+
+@register("relation_path", "SELECT * FROM (VALUES (0, 'HasMany', 'nation'), (1, 'HasMany', 'customer'), (2, 'BelongsTo', 'nation')) t(step, kind, name)")
+def relation_path(spark, sf_dir):
+    steps = resolve(store(spark, sf_dir)["region"], "nations.customers.nation")
+    return spark.createDataFrame([(i, type(r).__name__, r.related.name) for i, r in enumerate(steps)], "step int, kind string, name string")
+
+
 @register("with_count", "SELECT o_orderkey, count(l_orderkey) AS lines_count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def with_count(spark, sf_dir):
     return store(spark, sf_dir)["orders"].query().with_count("lines").to_df().select("o_orderkey", "lines_count")
@@ -389,13 +424,18 @@ def flagship(spark, sf_dir):
 
 @register("eager_load_flat", "SELECT n_nationkey, c_custkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey")
 def eager_load_flat(spark, sf_dir):
-    nested = store(spark, sf_dir)["nation"].query().with_relation("customers").to_df()
+    nested = store(spark, sf_dir)["nation"].query().with_relation("customers", "c_custkey").to_df()
     return nested.select("n_nationkey", F.explode_outer("customers").alias("c")).select("n_nationkey", "c.c_custkey")
 
 
+@register("eager_load_joined", "SELECT n_nationkey, c_custkey, c_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey")
+def eager_load_joined(spark, sf_dir):
+    return store(spark, sf_dir)["nation"].query().joined("customers", "c_custkey", "c_name").select("n_nationkey", "c_custkey", "c_name")
+
+
 @register("eager_load_nested", "SELECT r_regionkey, count(DISTINCT n_nationkey) AS nations, count(c_custkey) AS customers FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey")
 def eager_load_nested(spark, sf_dir):
-    nested = store(spark, sf_dir)["region"].query().with_relation("nations.customers").to_df()
+    nested = store(spark, sf_dir)["region"].query().with_relation("nations.customers", "c_custkey").to_df()
     inner = F.aggregate("nations", F.lit(0).cast("long"), lambda a, n: a + F.size(n["customers"]))
     return nested.select("r_regionkey", F.size("nations").cast("long").alias("nations"), inner.alias("customers"))
 
@@ -457,12 +497,29 @@ def trigram_candidates(spark, sf_dir):
     return read_table(spark, sf_dir, "part").where(text.shares_trigram(F.col("p_name"), "Bolt")).select("p_partkey")
 
 
+@register("trigram_hits", "SELECT p_partkey, len(list_filter(['wid', 'idg', 'dge', 'get', 'et ', 't b', ' bo', 'bol', 'olt'], lambda g: contains(lower(p_name), g))) AS hits FROM part")
+def trigram_hits(spark, sf_dir):
+    return read_table(spark, sf_dir, "part").select("p_partkey", text.trigram_hits(F.col("p_name"), "Widget Bolt").cast("long").alias("hits"))
+
+
 @register("normalize_text", "SELECT p_partkey, trim(regexp_replace(lower(p_name || '  X ' || p_brand), '\\s+', ' ', 'g')) AS t FROM part")
 def normalize_text(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", text.normalize(F.concat("p_name", F.lit("  X "), "p_brand")).alias("t"))
 
 
-@register("normalize_documents")
+#: The normaliser over an expression: letters, the elongation sign, marks, blanks.
+NORMALIZED = r"trim(regexp_replace(regexp_replace(translate(lower({x}), 'يكؤإأۀـ', 'یکوااه'), '[\x{{064B}}-\x{{065F}}]', '', 'g'), '[\t\n\x0b\f\r \x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{feff}}]+', ' ', 'g'))"
+
+
+@register("normalize_letters", f"SELECT CAST(c AS INTEGER) AS code, {NORMALIZED.format(x="' A' || chr(CAST(c AS INTEGER)) || '  b' || chr(CAST(c AS INTEGER)) || ' '")} AS t FROM (SELECT * FROM range(1536, 1792) UNION ALL SELECT * FROM range(8192, 8208) UNION ALL SELECT * FROM (VALUES (160), (12288), (65279))) r(c)")
+def normalize_letters(spark, sf_dir):
+    """Every letter, mark and sign of the Arabic block, and blanks of all kinds."""
+    codes = [*range(1536, 1792), *range(8192, 8208), 160, 12288, 65279]
+    rows = spark.createDataFrame([(c, f" A{chr(c)}  b{chr(c)} ") for c in codes], "code int, t string")
+    return rows.select("code", text.normalize(F.col("t")).alias("t"))
+
+
+@register("normalize_documents", f"SELECT doc_id, {NORMALIZED.format(x='text')} AS t FROM documents")
 def normalize_documents(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
 
@@ -634,11 +691,12 @@ def mvcc_commit_rollback(spark, sf_dir):
     return mvcc.read_at(mvcc.rollback(mvcc.commit(versions, 3), 8), 8)
 
 
-@register("watch_transitions", "WITH a AS (SELECT DISTINCT user_id FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events WHERE event_id < 500) WHERE r = 1 AND value > 50), b AS (SELECT DISTINCT user_id FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events) WHERE r = 1 AND value > 50) SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'enter' WHEN b.user_id IS NULL THEN 'leave' ELSE 'update' END AS transition FROM a FULL JOIN b ON a.user_id = b.user_id")
+@register("watch_transitions", "WITH a AS (SELECT DISTINCT user_id FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events WHERE 2 * event_id < (SELECT max(event_id) FROM events)) WHERE r = 1 AND value > 50), b AS (SELECT DISTINCT user_id FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events) WHERE r = 1 AND value > 50) SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'enter' WHEN b.user_id IS NULL THEN 'leave' ELSE 'update' END AS transition FROM a FULL JOIN b ON a.user_id = b.user_id")
 def watch_transitions(spark, sf_dir):
     events = read_table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.lit("put").alias("op"), "value")
     plan = lambda log: changelog.latest(log, "user_id").where("value > 50")
-    return live.transitions(plan(events.where("seq < 500")), plan(events), "user_id")
+    (last,) = events.agg(F.max("seq")).first()
+    return live.transitions(plan(events.where(2 * F.col("seq") < last)), plan(events), "user_id")
 
 
 @register("schema_diff", "SELECT * FROM (VALUES ('changed_type', 'a', 'y', 'bigint'), ('new_column', 'a', 'z', 'string'), ('removed_column', 'a', 'x', 'int'), ('new_table', 'b', NULL, NULL), ('dropped_table', 'c', NULL, NULL)) t(kind, \"table\", \"column\", \"type\")")
@@ -651,9 +709,275 @@ def schema_diff(spark, sf_dir):
 def live_query(spark, sf_dir):
     """The events as a stream: the last published result of a live query over the latest row per user."""
     events = read_table(spark, sf_dir, "events")
-    folder = f"{scratch_dir(spark)}/live-{uuid.uuid4().hex}"
+    folder = fresh(spark, "live")
     stream = live.changes(spark, sf_dir, events.schema, glob="events.parquet")
     log = stream.select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), "value")
-    query = live.LiveQuery(spark, "user_id", log.schema, lambda df: df.where("value > 50"), lambda new, moved, n: new.write.mode("overwrite").parquet(f"{folder}/result"), folder)
+    query = live.LiveQuery(spark, "user_id", log.schema, lambda df: df.where("value > 50"), lambda new, moved, n: new.write.mode("overwrite").parquet(f"{folder}/result"), f"{folder}/state", by_row=True)
     query.start(log, f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/result")
+
+
+@register("watch_key_stream", "SELECT event_id, value FROM events WHERE user_id = 7")
+def watch_key_stream(spark, sf_dir):
+    """The changes of one key, from a stream."""
+    folder = fresh(spark, "watch")
+    stream = live.changes(spark, sf_dir, read_table(spark, sf_dir, "events").schema, glob="events.parquet")
+    seen = live.watch_key(stream, "user_id", 7).select("event_id", "value")
+    seen.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{folder}/out")
+
+
+# --- writing -------------------------------------------------------------------------------------------------------
+
+
+@register("batch_upsert_repeats", f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) UNION ALL SELECT user_id, 'event ' || event_id FROM {LAST} WHERE r = 1")
+def batch_upsert_repeats(spark, sf_dir):
+    """A batch with many rows a key: the last one counts."""
+    rows = read_table(spark, sf_dir, "events").orderBy("event_id").select(F.col("user_id").alias("c_custkey"), F.concat(F.lit("event "), "event_id").alias("c_name"))
+    return changelog.upsert(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), rows, "c_custkey")
+
+
+def written_log(spark: SparkSession, sf_dir: str) -> changelog.ChangeLog:
+    """Events in two batches by user, the users divisible by five deleted in between."""
+    log = changelog.ChangeLog(spark, fresh(spark, "log"), "user_id")
+    events = read_table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    (last,) = events.agg(F.max("event_id")).first()
+    log.put(events.where(2 * F.col("event_id") < last), pos="event_id")
+    log.delete(events.where("user_id % 5 = 0"))
+    log.append(events.where((2 * F.col("event_id") >= last) & (F.col("user_id") % 10 != 0)).orderBy("event_id"))
+    return log
+
+
+STATE = "(SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE user_id % 10 <> 0 AND (user_id % 5 <> 0 OR 2 * event_id >= (SELECT max(event_id) FROM events)))"
+
+
+@register("log_state", f"SELECT user_id, event_id, value FROM {STATE} WHERE r = 1")
+def log_state(spark, sf_dir):
+    return written_log(spark, sf_dir).state().select("user_id", "event_id", "value")
+
+
+@register("compact_state", f"SELECT user_id, event_id, value, 'put' AS op FROM {STATE} WHERE r = 1")
+def compact_state(spark, sf_dir):
+    """What a compacted log holds: the live records alone."""
+    log = written_log(spark, sf_dir)
+    log.compact()
+    return log.read().select("user_id", "event_id", "value", "op")
+
+
+@register("log_snapshot", f"SELECT user_id, event_id, value FROM {STATE} WHERE r = 1")
+def log_snapshot(spark, sf_dir):
+    written_log(spark, sf_dir).snapshot(path := fresh(spark, "snapshot"))
+    return spark.read.parquet(path)
+
+
+@register("compact_policy", "SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, a * 30 >= 100 AND (b = 0 OR (a * 30 - b * 30) / (a * 30.0) > 0.3) AS due FROM range(9) x(a), range(9) y(b) WHERE b <= a")
+def compact_policy(spark, sf_dir):
+    """When a log of so many times 30 MB with so many times 30 MB of live records is compacted."""
+    mb = 30 << 20
+    return spark.createDataFrame([(a, b, changelog.should_compact(a * mb, b * mb)) for a in range(9) for b in range(a + 1)], "a int, b int, due boolean")
+
+
+@register("dataset_write", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN upper(n_name) ELSE n_name END AS n_name FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey NOT IN (7, 8)")
+def dataset_write(spark, sf_dir):
+    data = Dataset.stored(spark, fresh(spark, "nations"), "n_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    data.save(nation)
+    data.save(nation.where("n_nationkey % 4 = 0").withColumn("n_name", F.upper("n_name")))
+    data.delete(nation.where("n_nationkey % 3 = 0"))
+    data.destroy(7, "8", 999)
+    return data.query().to_df().select("n_nationkey", "n_name")
+
+
+@register("cached_query", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey <> 2 UNION ALL SELECT 99, 'added'")
+def cached_query(spark, sf_dir):
+    """A kept result, and what it is after a write."""
+    data = Dataset.stored(spark, fresh(spark, "nations"), "n_nationkey", "nations")
+    data.save(read_table(spark, sf_dir, "nation"))
+    wanted = data.query().where("n_regionkey", 1)
+    if wanted.cached().count() != data.query().where(lambda x: x.n_regionkey == 1).cached().count() or len(data.cache) != 1:
+        raise AssertionError("one plan, one result")
+    data.save(spark.createDataFrame([(99, "added", 1)], "n_nationkey int, n_name string, n_regionkey int"))
+    data.destroy(2)
+    return wanted.cached().select("n_nationkey", "n_name")
+
+
+PERSON = model.Model(key="c_custkey", fillable=("c_name", "c_mktsegment"), mutators={"c_name": F.trim}, indexed=("c_mktsegment",), unique=("c_name",), fuzzy_indexed=("c_name",))
+
+
+def people(spark: SparkSession, sf_dir: str, events: model.Events | None = None) -> Repository:
+    """Customers created, some saved under another segment, some destroyed."""
+    repo = Repository(spark, fresh(spark, "people"), PERSON, events)
+    customer = read_table(spark, sf_dir, "customer")
+    repo.create(customer)
+    repo.save(customer.where("c_custkey % 6 = 0").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", F.lit("MOVED").alias("c_mktsegment")))
+    repo.delete(customer.where("c_custkey % 6 = 1").select(F.col("c_custkey").cast("string").alias("c_custkey")))
+    repo.destroy(2, 3)
+    return repo
+
+
+LEFT = "(SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, trim(c_name) AS c_name, CASE WHEN c_custkey % 6 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 6 <> 1 AND c_custkey NOT IN (2, 3))"
+
+
+@register("model_save_delete", f"SELECT * FROM {LEFT}")
+def model_save_delete(spark, sf_dir):
+    return people(spark, sf_dir).data.all().select("c_custkey", "c_name", "c_mktsegment")
+
+
+@register("model_find", f"SELECT c_custkey, c_name, c_mktsegment FROM {LEFT} WHERE c_custkey = '12'")
+def model_find(spark, sf_dir):
+    return people(spark, sf_dir).find(12).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@register("model_events", "SELECT * FROM (VALUES ('saving', 2), ('creating', 1), ('created', 1), ('updating', 1), ('updated', 1), ('saved', 2), ('deleting', 2), ('deleted', 2)) t(name, n)")
+def model_events(spark, sf_dir):
+    """How often each event fired."""
+    events, seen = model.Events(), {}
+    for name in ("saving", "saved", "creating", "created", "updating", "updated", "deleting", "deleted"):
+        events.on(name, lambda rows, name=name: seen.update({name: seen.get(name, 0) + 1}))
+    people(spark, sf_dir, events)
+    return spark.createDataFrame(list(seen.items()), "name string, n int")
+
+
+@register("model_indexes", f"SELECT c_custkey, 'segment' AS kind FROM {LEFT} WHERE c_mktsegment = 'MOVED' UNION ALL SELECT c_custkey, 'name' FROM {LEFT} WHERE c_name = (SELECT max(c_name) FROM {LEFT} WHERE c_custkey < '5')")
+def model_indexes(spark, sf_dir):
+    """Lookups by the indexes that a model declares."""
+    repo = people(spark, sf_dir)
+    indexes = repo.build_indexes()
+    (name,) = repo.data.all().where("c_custkey < '5'").agg(F.max("c_name")).first()
+    return indexes.equal(c_mktsegment="MOVED").withColumn("kind", F.lit("segment")).unionByName(indexes.equal(c_name=name).withColumn("kind", F.lit("name")))
+
+
+@register("generated_ids", "SELECT count(*) AS n, count(*) AS ids, count(*) AS again FROM customer")
+def generated_ids(spark, sf_dir):
+    """Generated keys differ, and are the same when the plan runs again."""
+    made = [model.Model(fillable=("c_mktsegment",)).create(read_table(spark, sf_dir, "customer")) for _ in range(2)]
+    same = made[0].select("id").join(made[1].select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("again"))
+    n, ids = made[0].agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    return same.select(F.lit(n).cast("long").alias("n"), F.lit(ids).cast("long").alias("ids"), "again")
+
+
+@register("hydrate_dirty", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_name <> upper(c_name) THEN 'c_acctbal,c_name' WHEN c_custkey % 2 = 0 THEN 'c_acctbal' ELSE 'c_name' END AS changed FROM customer WHERE c_custkey % 2 = 0 OR c_name <> upper(c_name)")
+def hydrate_dirty(spark, sf_dir):
+    """Changes since the records were read; nothing is dirty after a sync."""
+    rows = model.Tracked.hydrate(read_table(spark, sf_dir, "customer"), "c_custkey")
+    changed = rows.set(c_name=F.upper("c_name"), c_acctbal=F.expr("if(c_custkey % 2 = 0, c_acctbal + 1, c_acctbal)"))
+    found = changed.dirty().unionByName(rows.dirty()).unionByName(changed.sync().dirty())
+    return found.select("c_custkey", F.array_join("changed", ",").alias("changed"))
+
+
+# --- binary logs, versions, indexes, notes -------------------------------------------------------------------------
+
+
+def box_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the events of a box: two thirds as many keys as rows, every seventh row a delete."""
+    customer = read_table(spark, sf_dir, "customer")
+    n = F.col("c_custkey")
+    gone = n % 7 == 0
+    value = F.struct("c_name", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    return customer.select(n.alias("seq"), F.when(gone, "delete").otherwise("put").alias("op"), F.concat(F.lit("k"), F.floor(n * 2 / 3)).alias("key"), F.when(~gone, value).alias("value"))
+
+
+BOX = "(SELECT 'k' || CAST(floor(c_custkey * 2 / 3) AS BIGINT) AS key, c_custkey, c_name, c_nationkey AS nation, c_acctbal, row_number() OVER (PARTITION BY CAST(floor(c_custkey * 2 / 3) AS BIGINT) ORDER BY c_custkey DESC) AS r FROM customer)"
+
+
+@register("log_scan", f"SELECT key, c_name, nation, c_acctbal FROM {BOX} WHERE r = 1 AND c_custkey % 7 <> 0")
+def log_scan(spark, sf_dir):
+    """The live records of a binary log."""
+    folder = fresh(spark, "box")
+    logfile.write_box(box_events(spark, sf_dir), folder, "customers")
+    state = logfile.state_of_log(spark, f"{folder}/customers.db")
+    return state.select("key", F.from_json("value", "c_name string, nation int, c_acctbal double").alias("v")).select("key", "v.*")
+
+
+@register("log_recovery", f"SELECT box, source, key, c_name FROM {BOX}, (VALUES ('a', 'hint'), ('b', 'snapshot'), ('c', 'scan')) t(box, source) WHERE r = 1 AND c_custkey % 7 <> 0")
+def log_recovery(spark, sf_dir):
+    """Three boxes of a folder, each recovered its own way: by hints, by an index snapshot, by a scan."""
+    folder = fresh(spark, "boxes")
+    for name, hint, index in (("a", True, True), ("b", False, True), ("c", False, False)):
+        logfile.write_box(box_events(spark, sf_dir), folder, name, hint, index)
+    return logfile.read_boxes(spark, folder).select("box", "source", "key", F.get_json_object("value", "$.c_name").alias("c_name"))
+
+
+def versions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events")
+    return events.select(F.col("event_id").alias("seq"), (1 + F.col("event_id") % 9).alias("tx"), F.col("user_id").alias("key"), "value", (F.col("event_type") == "error").alias("deleted"), (F.col("event_id") % 4 != 0).alias("committed"))
+
+
+@register("mvcc_keys", f"SELECT key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM {VERSIONS} WHERE tx = 5 OR (committed AND tx <= 5)) WHERE r = 1 AND NOT deleted")
+def mvcc_keys(spark, sf_dir):
+    return mvcc.keys(versions_of(spark, sf_dir), 5)
+
+
+@register("mvcc_write_delete", f"SELECT key, CASE WHEN key % 3 = 0 THEN -1.0 ELSE value END AS value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM {VERSIONS} WHERE committed AND tx <= 20) WHERE r = 1 AND key % 5 <> 0 AND (NOT deleted OR key % 3 = 0)")
+def mvcc_write_delete(spark, sf_dir):
+    """What a transaction sees of its own writes and deletes."""
+    versions = versions_of(spark, sf_dir)
+    keys = versions.where("committed").select("key").distinct()
+    mine = mvcc.write(versions, keys.where("key % 3 = 0").withColumn("value", F.lit(-1.0)), 20)
+    return mvcc.read_at(mvcc.delete(mine, keys.where("key % 5 = 0"), 20), 20)
+
+
+@register("mvcc_begin", "SELECT CAST(n AS INTEGER) AS n, CAST(n + 1 AS INTEGER) AS tx, n % 2 = 1 AS active FROM range(6) t(n)")
+def mvcc_begin(spark, sf_dir):
+    hand = mvcc.Transactions()
+    ids = [hand.begin() for _ in range(6)]
+    for tx in ids[::2]:
+        hand.end(tx)
+    return spark.createDataFrame([(i, tx, hand.is_active(tx)) for i, tx in enumerate(ids)], "n int, tx int, active boolean")
+
+
+def order_indexes(spark: SparkSession, sf_dir: str) -> layout.Indexes:
+    kinds = [layout.Index("hash", ("o_custkey",)), layout.Index("range", ("o_totalprice",)), layout.Index("compound", ("o_orderstatus", "o_totalprice")), layout.Index("unique", ("o_orderkey",))]
+    return layout.Indexes.build(read_table(spark, sf_dir, "orders"), fresh(spark, "indexes"), "o_orderkey", kinds)
+
+
+@register("index_equal", "SELECT o_orderkey FROM orders WHERE o_custkey = 77 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey = 5")
+def index_equal(spark, sf_dir):
+    indexes = order_indexes(spark, sf_dir)
+    return indexes.equal(o_custkey=77).unionByName(indexes.equal(o_orderkey=5))
+
+
+@register("index_range", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 110000")
+def index_range(spark, sf_dir):
+    return order_indexes(spark, sf_dir).between({"o_totalprice": 100_000.0}, {"o_totalprice": 110_000.0})
+
+
+@register("index_compound", "SELECT o_orderkey FROM orders WHERE o_orderstatus > 'F' AND o_orderstatus < 'O' OR o_orderstatus = 'F' AND o_totalprice >= 400000 OR o_orderstatus = 'O' AND o_totalprice <= 2000")
+def index_compound(spark, sf_dir):
+    return order_indexes(spark, sf_dir).between({"o_orderstatus": "F", "o_totalprice": 400_000.0}, {"o_orderstatus": "O", "o_totalprice": 2_000.0})
+
+
+@register("index_fuzzy_hits", "SELECT p_partkey, hits FROM (SELECT p_partkey, len(list_filter(['red', 'ed ', 'd w', ' wi', 'wig', 'igd', 'gde', 'det'], lambda g: contains(lower(p_name), g))) AS hits FROM part) WHERE hits > 0")
+def index_fuzzy_hits(spark, sf_dir):
+    indexes = layout.Indexes.build(read_table(spark, sf_dir, "part"), fresh(spark, "indexes"), "p_partkey", [layout.Index("fuzzy", ("p_name",))])
+    return indexes.fuzzy("p_name", "red wigdet")
+
+
+@register("natural_order", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 7")
+def natural_order(spark, sf_dir):
+    return store(spark, sf_dir)["orders"].query().offset(7).limit(20).to_df().select("o_orderkey")
+
+
+@register("filter_keywords_more", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 5 AND 9000 AND o_orderpriority IN ('1-URGENT', '5-LOW') AND contains(o_orderstatus, 'F')")
+def filter_keywords_more(spark, sf_dir):
+    q = store(spark, sf_dir)["orders"].query().where("o_orderkey", between_start=5, between_end=9000).where("o_orderpriority", in_values=["1-URGENT", "5-LOW"])
+    return q.where("o_orderstatus", contains="F", is_null=False).to_df().select("o_orderkey")
+
+
+@register("filter_usage", "SELECT * FROM (VALUES ('o_orderkey', 2), ('o_orderstatus', 2), ('o_totalprice', 1)) t(name, n)")
+def filter_usage(spark, sf_dir):
+    """How often each field was filtered on, in predicates of every form."""
+    before = dict(queries.usage)
+    q = store(spark, sf_dir)["orders"].query().where("o_orderkey", gt=5).where(lambda x: (x.o_orderstatus == "F") | ~(x.o_totalprice > 5))
+    q.or_where(field("o_orderkey") == 3).where_in("o_orderstatus", ["P"])
+    return spark.createDataFrame([(k, n - before.get(k, 0)) for k, n in queries.usage.items() if n > before.get(k, 0)], "name string, n int")
+
+
+@register("schema_notes", "SELECT * FROM (VALUES ('r_name', 'fuzzy'), ('r_regionkey', 'unique')) t(name, kind)")
+def schema_notes(spark, sf_dir):
+    """Notes on columns travel with the data."""
+    rows = read_table(spark, sf_dir, "region")
+    notes = migrate.annotate(rows.schema, r_name={"index": "fuzzy"}, r_regionkey={"index": "unique"})
+    noted = rows.select(*[F.col(f.name).alias(f.name, metadata=f.metadata) for f in notes])
+    noted.write.parquet(path := fresh(spark, "noted"))
+    return spark.createDataFrame([(f.name, f.metadata["index"]) for f in spark.read.parquet(path).schema], "name string, kind string")

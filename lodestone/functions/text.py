@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Arabic letters and the Persian ones that stand for them; marks that are dropped; the elongation sign.
-ARABIC, PERSIAN = "يكؤإۀ", "یکواه"
-MARKS = "[ً-ٟ]"
-TATWEEL = "ـ"
+# Arabic letters and the Persian ones that stand for them; marks that are dropped; the elongation sign; blanks.
+LETTERS = {"\u064a": "\u06cc", "\u0643": "\u06a9", "\u0624": "\u0648", "\u0625": "\u0627", "\u0623": "\u0627", "\u06c0": "\u0647"}
+MARKS = range(0x64B, 0x660)
+TATWEEL = "\u0640"
+BLANKS = "[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+
+_FROM, _TO = "".join(LETTERS), "".join(LETTERS.values())
+_GONE = TATWEEL + "".join(map(chr, MARKS))
 
 
 def normalize(c: Column) -> Column:
     """Persian letter forms, no marks or elongation, lower case, single blanks, trimmed."""
-    c = F.regexp_replace(F.translate(c, ARABIC, PERSIAN), MARKS, "")
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, TATWEEL, "")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.translate(c, _FROM + _GONE, _TO)), BLANKS, " "), F.lit(" \u0085"))
+
+
+def normalized(text: str) -> str:
+    """normalize() of a literal."""
+    plain = text.translate(str.maketrans(_FROM, _TO, _GONE)).lower()
+    return re.sub(BLANKS, " ", plain).strip(" \u0085")
 
 
 def trigrams(c: Column) -> Column:
@@ -23,6 +34,11 @@ def trigrams(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
 
 
+def trigram_hits(c: Column, text: str) -> Column:
+    """Number of distinct trigrams that the text and the column have in common."""
+    return F.size(F.array_intersect(trigrams(c), trigrams(F.lit(text))))
+
+
 def shares_trigram(c: Column, text: str) -> Column:
     """Whether the text and the column have a trigram in common."""
     return F.arrays_overlap(trigrams(c), trigrams(F.lit(text)))
@@ -39,7 +55,7 @@ def window_score(c: Column, text: str) -> Column:
 
     An empty query scores 1 against any text; a shorter text is one window. Null stays null.
     """
-    query = " ".join(text.split()).lower().translate(str.maketrans(ARABIC, PERSIAN, TATWEEL + "".join(map(chr, range(0x64B, 0x660)))))
+    query = normalized(text)
     n = len(query)
     if not n:
         return F.when(c.isNotNull(), F.lit(1.0))

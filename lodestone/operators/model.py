@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.casts import cast
+from lodestone.operators.layout import Index
 
 
 @dataclass(frozen=True)
 class Model:
     """fillable, guarded: columns that mass assignment takes or refuses ('*': all); mutators run on write, casts and then
-    accessors on read; hidden and visible choose the output, appends are computed for it."""
+    accessors on read; hidden and visible choose the output, appends are computed for it; indexed, unique and fuzzy_indexed are
+    columns to index."""
 
     key: str = "id"
     fillable: tuple[str, ...] = ()
@@ -26,6 +28,13 @@ class Model:
     mutators: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     appends: dict[str, Column | Callable[[DataFrame], Column]] = field(default_factory=dict)
     lenient: bool = False
+    indexed: tuple[str, ...] = ()
+    unique: tuple[str, ...] = ()
+    fuzzy_indexed: tuple[str, ...] = ()
+
+    def indexes(self) -> list[Index]:
+        """The declared indexes."""
+        return [Index(kind, (c,)) for kind, own in (("hash", self.indexed), ("unique", self.unique), ("fuzzy", self.fuzzy_indexed)) for c in own]
 
     def is_fillable(self, column: str) -> bool:
         if self.fillable:
@@ -43,11 +52,11 @@ class Model:
         return rows.withColumns({c: f(F.col(c)) for c, f in self.mutators.items() if c in rows.columns})
 
     def create(self, rows: DataFrame) -> DataFrame:
-        """Filled rows with a generated key where there is none."""
-        made = self.fill(rows)
-        if self.key not in made.columns:
-            return made.withColumn(self.key, F.expr("uuid()"))
-        return made.withColumn(self.key, F.coalesce(F.col(self.key).cast("string"), F.expr("uuid()")))
+        """Filled rows with a key where there is none: a hash of the row and its place, the same whenever the plan is run."""
+        numbered = rows.withColumn("_new", F.md5(F.concat_ws(":", F.monotonically_increasing_id(), F.to_json(F.struct(*rows.columns)))))
+        made = self._mutated(numbered.select("_new", *[c for c in rows.columns if c == self.key or self.is_fillable(c)]))
+        key = F.coalesce(F.col(self.key).cast("string"), "_new") if self.key in made.columns else F.col("_new")
+        return made.withColumn(self.key, key).drop("_new")
 
     def read(self, rows: DataFrame) -> DataFrame:
         """Casts, then accessors, of the columns there are."""
@@ -81,6 +90,35 @@ def dirty(original: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).select(key, F.array_compact(marks).alias("changed")).where(F.size("changed") > 0)
 
 
+@dataclass(frozen=True)
+class Tracked:
+    """Records with the state they were last read or saved in."""
+
+    original: DataFrame
+    current: DataFrame
+    key: str = "id"
+
+    @classmethod
+    def hydrate(cls, rows: DataFrame, key: str = "id") -> Tracked:
+        """Rows as they are stored, neither filtered nor mutated: nothing is dirty."""
+        return cls(rows, rows, key)
+
+    def set(self, model: Model | None = None, **columns: Column) -> Tracked:
+        """New values for columns; with a model only for fillable ones, through its mutators."""
+        taken = {c: v for c, v in columns.items() if model is None or model.is_fillable(c)}
+        if model is not None:
+            taken = {c: model.mutators[c](v) if c in model.mutators else v for c, v in taken.items()}
+        return replace(self, current=self.current.withColumns(taken))
+
+    def dirty(self) -> DataFrame:
+        """key, changed: see dirty()."""
+        return dirty(self.original, self.current, self.key)
+
+    def sync(self) -> Tracked:
+        """The current state becomes the original one."""
+        return replace(self, original=self.current)
+
+
 class Events:
     """Listeners by event name: saving, saved, creating, created, updating, updated, deleting, deleted."""
 

@@ -26,9 +26,9 @@ def keys(versions: DataFrame, tx: int, key: str = "key") -> DataFrame:
 
 
 def write(versions: DataFrame, rows: DataFrame, tx: int, deleted: bool = False) -> DataFrame:
-    """Append uncommitted versions after all there are; a batch holds a key once."""
+    """Append uncommitted versions after all there are, in the rows' own order."""
     seq = (versions.agg(F.max("seq")).first()[0] or 0) + 1
-    new = rows.withColumns({"tx": F.lit(tx).cast(versions.schema["tx"].dataType), "deleted": F.lit(deleted), "committed": F.lit(False), "seq": F.lit(seq).cast(versions.schema["seq"].dataType)})
+    new = rows.withColumns({"tx": F.lit(tx).cast(versions.schema["tx"].dataType), "deleted": F.lit(deleted), "committed": F.lit(False), "seq": (F.monotonically_increasing_id() + seq).cast(versions.schema["seq"].dataType)})
     return versions.unionByName(new, allowMissingColumns=True)
 
 

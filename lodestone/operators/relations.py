@@ -5,7 +5,7 @@ related row as a struct). Existence is a left semi join, counts are aggregated b
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,31 +45,38 @@ class Relation:
         links = self.links(rows).select("_k")
         return parents.join(links, self._on(parents, links), "left_anti")
 
+    def marked(self, parents: DataFrame, name: str, rows: DataFrame | None = None) -> DataFrame:
+        """Parents with whether they have a related row."""
+        links = self.links(rows).select("_k").distinct()
+        return parents.join(links, self._on(parents, links), "left").withColumn(name, F.col("_k").isNotNull()).drop("_k")
+
     def counted(self, parents: DataFrame, name: str) -> DataFrame:
         """Parents with the number of related rows, soft-deleted ones included."""
         n = self.links().groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
         return parents.join(n, self._on(parents, n), "left").withColumn(name, F.coalesce("_n", F.lit(0)).cast("long")).drop("_k", "_n")
 
-    def loaded(self, parents: DataFrame, name: str, rows: DataFrame | None = None) -> DataFrame:
-        """Parents with the related rows in column name: an array in the related key's order, or one struct or null."""
+    def loaded(self, parents: DataFrame, name: str, rows: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+        """Parents with the related rows, or those columns of them, in column name: an array in the related key's order, or one
+        struct or null. A parent's rows are one value of one row; joined() gives rows instead."""
         links = self.links(rows)
-        key = self.related.key
-        by_key = F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"_row.{key}").alias("_o"), F.col("_row")))), lambda x: x["_row"])
+        order = F.struct(*[F.col(f"_row.{k}").alias(f"_{i}") for i, k in enumerate(self.related.key_columns)])
+        value = F.struct(*[F.col(f"_row.{c}").alias(c) for c in columns]) if columns else F.col("_row")
+        by_key = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("_o"), value.alias("_row")))), lambda x: x["_row"])
         grouped = links.groupBy("_k").agg(by_key.alias("_rows"))
         joined = parents.join(grouped, self._on(parents, grouped), "left")
         value = F.coalesce("_rows", F.array().cast(grouped.schema["_rows"].dataType)) if self.many else F.get("_rows", F.lit(0))
         return joined.withColumn(name, value).drop("_k", "_rows")
 
-    def joined(self, parents: DataFrame, how: str = "inner") -> DataFrame:
-        """Parent and related columns side by side; the related ones must have other names."""
+    def joined(self, parents: DataFrame, how: str = "inner", columns: tuple[str, ...] = ()) -> DataFrame:
+        """Parent and related columns (or those named) side by side; the related ones must have other names."""
         links = self.links()
-        return parents.join(links, self._on(parents, links), how).select(*[parents[c] for c in parents.columns], "_row.*")
+        own = [f"_row.{c}" for c in columns] or ["_row.*"]
+        return parents.join(links, self._on(parents, links), how).select(*[parents[c] for c in parents.columns], *own)
 
     def of(self, parents: DataFrame) -> DataFrame:
-        """The distinct related rows of these parents."""
-        keys = parents.select(F.col(self.parent).alias("_p")).distinct()
+        """The related rows of these parents, each once however many parents it has."""
         links = self.links()
-        return links.join(keys, links["_k"] == keys["_p"], "left_semi").select("_row.*").dropDuplicates([self.related.key])
+        return links.join(parents.select(self.parent), self._on(parents, links), "left_semi").select("_row.*")
 
 
 @dataclass
@@ -90,7 +97,7 @@ class HasOne(HasMany):
 
     def links(self, rows: DataFrame | None = None) -> DataFrame:
         rows = self.related.all() if rows is None else rows
-        order = [F.col(c).asc_nulls_last() for c in (self.order_by, self.related.key) if c]
+        order = [F.col(c).asc_nulls_last() for c in (self.order_by, *self.related.key_columns) if c]
         first = F.row_number().over(W.partitionBy(self.foreign_key).orderBy(*order))
         kept = rows.withColumn("_first", first).where("_first = 1").drop("_first")
         return self._links(kept, kept[self.foreign_key])
@@ -135,6 +142,11 @@ class ManyToMany(Relation):
         met = self.pivot.df.join(rows, F.col("right") == rows[self.related.key])
         return met.select(F.col("left").alias("_k"), F.struct(*[rows[c] for c in rows.columns]).alias("_row"))
 
+    def of(self, parents: DataFrame) -> DataFrame:
+        rows = self.related.all()
+        pairs = self.pivot.df.join(parents.select(F.col(self.parent).alias("_p")), F.col("left") == F.col("_p"), "left_semi")
+        return rows.join(pairs, rows[self.related.key] == pairs["right"], "left_semi")
+
 
 @dataclass
 class MorphMany(Relation):
@@ -182,6 +194,5 @@ def leaf_of(dataset: Dataset, path: str, condition: Callable | None = None) -> D
     for relation in steps:
         rows = relation.of(rows)
     if condition is not None:
-        kept = condition(steps[-1].related.query()).to_df().select(steps[-1].related.key)
-        rows = rows.join(kept, steps[-1].related.key, "left_semi")
+        rows = condition(replace(steps[-1].related, supply=lambda: rows).query()).to_df()
     return rows

@@ -134,6 +134,16 @@ class Field:
         return Fuzzy(self.name, text, threshold, prefilter)
 
 
+def fields_of(node: Node) -> list[str]:
+    """The field of every comparison in a predicate, in order."""
+    match node:
+        case And(parts) | Or(parts):
+            return [f for p in parts for f in fields_of(p)]
+        case Not(part):
+            return fields_of(part)
+    return [node.field]
+
+
 class Proxy:
     """The argument of lambda predicates: every attribute is a field."""
 

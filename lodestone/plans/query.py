@@ -6,15 +6,17 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.relations import resolve
 from lodestone.plans import ast
 from lodestone.plans.compiler import compile_node
 from lodestone.sources.dataset import Dataset, trashed
+from lodestone.sources.tables import materialize
 
 #: How often each field was filtered on, in this process.
 usage: Counter = Counter()
@@ -47,7 +49,7 @@ class Query:
     has: tuple[tuple[tuple[str, Callable | None], ...], ...] = ()  # all of these, each any of its paths
     hasnt: tuple[str, ...] = ()
     counts: tuple[str, ...] = ()
-    includes: tuple[str, ...] = ()
+    includes: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     # filters
     def where(self, predicate: ast.Node | Callable | str, /, *args: Any, **ops: Any) -> Query:
@@ -63,9 +65,11 @@ class Query:
     @staticmethod
     def _node(predicate: ast.Node | Callable | str, *args: Any, **ops: Any) -> ast.Node:
         if isinstance(predicate, str):
-            usage[predicate] += 1
-            return ast.from_keywords(predicate, **({"eq": args[0]} if args else {}), **ops)
-        return predicate if isinstance(predicate, ast.Node) else predicate(ast.Proxy())
+            node = ast.from_keywords(predicate, **({"eq": args[0]} if args else {}), **ops)
+        else:
+            node = predicate if isinstance(predicate, ast.Node) else predicate(ast.Proxy())
+        usage.update(ast.fields_of(node))
+        return node
 
     def where_in(self, name: str, values: list) -> Query:
         return self.where(ast.In(name, tuple(values)))
@@ -116,9 +120,23 @@ class Query:
         """Adds `{name}_count`."""
         return replace(self, counts=(*self.counts, name))
 
-    def with_relation(self, path: str) -> Query:
-        """Adds the related rows as nested columns, along a dotted path."""
-        return replace(self, includes=(*self.includes, path))
+    def with_relation(self, path: str, *columns: str) -> Query:
+        """Adds the related rows as nested columns, along a dotted path; columns: only these of the last step's rows."""
+        return replace(self, includes=(*self.includes, (path, columns)))
+
+    def joined(self, name: str, *columns: str, how: str = "left") -> DataFrame:
+        """The matches side by side with their related rows (or those columns of them), a row per pair: eager loading for
+        relations that are too wide for one nested value."""
+        return self.dataset.relations[name].joined(self.to_df(), how, columns)
+
+    def numbered(self, name: str = "pos") -> DataFrame:
+        """The matches with their place in the order (from 1): sorted once, written, and counted by partition."""
+        spot = F.monotonically_increasing_id()
+        rows = materialize(self.to_df().withColumn(name, spot), "numbered").withColumn("_part", F.shiftright(name, 33))
+        sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias("_first"))
+        before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+        starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"), "_first")
+        return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col(name) - F.col("_first") + F.col("_before") + 1).drop("_part", "_before", "_first")
 
     include = with_relation
 
@@ -136,11 +154,10 @@ class Query:
             if len(paths) == 1:
                 df = self._having(df, *paths[0])
             else:
-                keys = [self._having(df, p, c).select(self.dataset.key) for p, c in paths]
-                either = keys[0]
-                for k in keys[1:]:
-                    either = either.unionByName(k)
-                df = df.join(either, self.dataset.key, "left_semi")
+                own, marks = df.columns, [f"_has{i}" for i in range(len(paths))]
+                for mark, (path, condition) in zip(marks, paths, strict=True):
+                    df = resolve(self.dataset, path)[0].marked(df, mark, self._rows(path, condition))
+                df = df.where(reduce(lambda a, b: a | b, map(F.col, marks))).select(*own)
         for path in self.hasnt:
             first, *_ = resolve(self.dataset, path)
             df = first.lacking(df, self._rows(path, None))
@@ -166,11 +183,10 @@ class Query:
     def _paged(self, df: DataFrame) -> DataFrame:
         if self.sort:
             keys = [F.col(n).desc_nulls_first() if d else F.col(n).asc_nulls_last() for n, d in self.sort]
-            if self.dataset.key not in [n for n, _ in self.sort]:
-                keys.append(F.col(self.dataset.key).asc_nulls_last())
+            keys += [F.col(k).asc_nulls_last() for k in self.dataset.key_columns if k not in [n for n, _ in self.sort]]
             df = df.orderBy(*keys)
         elif self.size is not None or self.skip:
-            df = df.orderBy(F.col(self.dataset.key).asc_nulls_last())
+            df = df.orderBy(*[F.col(k).asc_nulls_last() for k in self.dataset.key_columns])
         if self.skip:
             df = df.offset(self.skip)
         return df if self.size is None else df.limit(self.size)
@@ -184,25 +200,29 @@ class Query:
             df = self._paged(self._counted(self._paged(df))) if self.skip == 0 else self._resorted(self._counted(self._paged(df)))
         else:
             df = self._paged(self._counted(df))
-        for path in self.includes:
-            df = self._included(df, self.dataset, path)
+        for path, columns in self.includes:
+            df = self._included(df, self.dataset, path, columns)
         return df
 
     def _resorted(self, df: DataFrame) -> DataFrame:
         return replace(self, size=None, skip=0)._paged(df)
 
     @staticmethod
-    def _included(df: DataFrame, dataset: Dataset, path: str) -> DataFrame:
+    def _included(df: DataFrame, dataset: Dataset, path: str, columns: tuple[str, ...]) -> DataFrame:
         """Leaf first: the related rows get their own related rows, then hang on the parents. Unknown names are ignored."""
         name, _, rest = path.partition(".")
         if name not in dataset.relations:
             return df
         relation = dataset.relations[name]
-        rows = Query._included(relation.related.all(), relation.related, rest) if rest else None
-        return relation.loaded(df, name, rows)
+        rows = Query._included(relation.related.all(), relation.related, rest, columns) if rest else None
+        return relation.loaded(df, name, rows, () if rest else columns)
 
     find = get = to_df
 
+    def cached(self) -> DataFrame:
+        """to_df(), kept until the dataset is written through save, delete or destroy."""
+        return self.dataset.cache.rows(self.dataset.name, self.to_df())
+
     def first(self) -> DataFrame:
         return self.limit(1).to_df()
 
@@ -224,4 +244,4 @@ class Query:
         steps += [f"count {c}" for c in self.counts]
         steps += [f"sort {', '.join(n + (' desc' if d else '') for n, d in self.sort)}"] if self.sort else []
         steps += [f"paginate {self.skip}, {self.size}"] if self.size is not None or self.skip else []
-        return steps + [f"attach {p}" for p in self.includes]
+        return steps + [f"attach {p}" for p, _ in self.includes]

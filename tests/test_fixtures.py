@@ -70,9 +70,10 @@ def test_scores(spark, q, t, window, whole):
 
 
 def test_normalisation(spark):
-    cases = {"علي": "علی", "كتاب": "کتاب", "كِتـاب": "کتاب", "  A \t B ": "a b", "a b": "a b", "": ""}
+    cases = {"أحمد إلي": "احمد الی", "\ufeffA\u2003\u0085 b": "a \u0085 b", "\u1680x\u202f": "x", "علي": "علی", "كتاب": "کتاب", "كِتـاب": "کتاب", "  A \t B ": "a b", "a b": "a b", "": ""}
     got = spark.createDataFrame([(k, v) for k, v in cases.items()], "a string, b string").select(text.normalize(F.col("a")).alias("x"), "b").collect()
     assert [r.x for r in got] == [r.b for r in got]
+    assert all(text.normalized(k) == v for k, v in cases.items())
     assert spark.range(1).select(text.studly(F.lit("first_naME_x"))).first()[0] == "FirstNaMEX"
 
 
@@ -186,18 +187,22 @@ def test_schema_diff(spark):
     assert migrate.annotate(one, a={"index": "range"})["a"].metadata == {"index": "range"}
 
 
-def test_live_query(spark, tmp_path):
+@pytest.mark.parametrize("by_row", [False, True])
+def test_live_query(spark, tmp_path, by_row):
     schema = T._parse_datatype_string("key string, v long, op string, seq long")
     events = [[("a", 1, "put", 1), ("b", 9, "put", 2)], [("a", 8, "put", 3), ("b", 9, "delete", 4), ("c", 1, "put", 5)], [("a", 7, "put", 6), ("c", 1, "delete", 7)]]
     for batch in events:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
         seen = {}
-        q = live.LiveQuery(spark, "key", schema, lambda df: df.where("v > 5"), lambda new, moved, n: seen.update({n: (sorted(map(tuple, new.collect())), {r.key: r.transition for r in moved.collect()})}), str(tmp_path / "states"))
+        q = live.LiveQuery(spark, "key", schema, lambda df: df.where("v > 5"), lambda new, moved, n: seen.update({n: (sorted(map(tuple, new.collect())), {r.key: r.transition for r in moved.collect()})}), str(tmp_path / "states"), buckets=4, by_row=by_row)
         q.start(live.changes(spark, str(tmp_path / "log"), schema), str(tmp_path / "checkpoint")).awaitTermination(60)
         batch.append(seen)
     assert list(events[0][-1].values()) == [([("b", 9)], {"b": "enter"})]
     assert list(events[1][-1].values()) == [([("a", 8)], {"a": "enter", "b": "leave"})]
     assert list(events[2][-1].values()) == [([("a", 7)], {"a": "update"})]
+    named = {(r["bucket"], r["version"]) for b in (1, 2) for r in spark.read.parquet(str(tmp_path / f"states/manifests/{b}")).collect()}
+    kept = {(int(p.name[8:]), int(p.parent.name[6:])) for p in (tmp_path / "states").glob("state-*/_bucket=*")}
+    assert kept == named
 
 
 def test_watch_key_and_table(spark):
