@@ -28,7 +28,7 @@ from lodestone.llm.common import materialize, text_bytes
 #: A line's key counts from so many code points, and is dropped from so many documents on.
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Up to so many dropped keys are broadcast to the documents (16 bytes each); beyond, they are joined by shuffle.
-BROADCAST_DROPS = 1_000_000
+BROADCAST_DROPS = 500_000
 #: Hashes of one shard at most, about; probes of one sub-shard that hit, about, at least.
 SHARD_KEYS, SHARD_PROBES = 50_000, 1_000
 #: Up to so many shards their sizes are broadcast (two integers each); beyond, they are joined by shuffle.
