@@ -1,9 +1,10 @@
 """License scan by ordered signature rules, in DataFrame operations only.
 
 Texts are normalised to lower-case words joined by single blanks. Every rule is a regular expression over that form with
-a keyword that must occur before the expression is tried, a priority (its place in the list) and a confidence. A rule whose
-keyword occurs is first tried by itself, all patterns being constants of the plan that are compiled once; only those that
-match look for their places, so only those patterns are compiled for a row. Matches
+a keyword that must occur before the expression is tried, a priority (its place in the list) and a confidence. A text's
+words are met once, as a set, with the first words of all keywords; only for those found are the keyword and then the rule
+itself tried, by patterns that are constants of the plan and compiled once. Only rules that match look for their places, so
+only their patterns are compiled for a row. Matches
 become word intervals; an interval that lies inside another is suppressed, of equal intervals the rule that comes first
 stays. Everything happens within a row, so the plan has no shuffle.
 """
@@ -200,7 +201,7 @@ odc-by | any rights in individual contents | any rights in individual contents o
 warranty | merchantability | (?:without even the )?implied warrant(?:y|ies) of merchantability(?: and| or) fitness for a particular purpose | 0.7
 warranty | no event shall | in no event shall [a-z0-9 ]{1,80} be liable for any direct indirect incidental special exemplary or consequential damages | 0.8
 warranty | entire risk | the entire risk as to the quality and performance of the (?:program|software) is with you | 0.8
-patent | patent | (?:grants? you|hereby grants) a [a-z0-9 ]{0,80}patent licen[sc]e | 0.6
+patent | patent | (?:grants? you|hereby grants) a (?:[a-z0-9 ]{0,80} )?patent licen[sc]e | 0.6
 attribution | attribution | (?:free to use|use permitted|may be used) with (?:proper )?attribution | 0.5
 other-noncommercial | personal | (?:for )?personal(?: and non ?commercial)? use only | 0.6
 other-noncommercial | evaluation purposes | for (?:internal )?evaluation purposes only | 0.6
@@ -217,6 +218,16 @@ other-license | licen | see (?:the )?(?:file )?licen[sc]e(?: txt| md)?(?: file)?
 """.strip()
 
 
+#: Keywords that are part of a longer word in some matches: these are looked for in the whole text.
+PARTIAL = ("licen", "unlicen", "rail")
+
+
+def anchor(key: str) -> str | None:
+    """A word that every match of a rule with this keyword holds; None for keywords that are not whole words."""
+    *whole, last = key.split()
+    return max(whole, key=len) if whole else None if last in PARTIAL else last
+
+
 def rules() -> list[tuple[str, str, str, float]]:
     """(label, keyword, expression, confidence), first the most telling forms."""
     families = [([x.strip() for x in line.split(" | ")] + ["", ""])[:5] for line in FAMILIES.splitlines()]
@@ -291,7 +302,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         rule = F.struct(F.lit(i).alias("priority"), F.lit(label).alias("label"), F.lit(expression).alias("expression"), F.lit(confidence).alias("confidence"))
         return F.when(padded.rlike(f"(?<= )(?:{expression})(?= )"), rule)
 
-    matching = F.concat(*[F.when(norm.contains(key), F.array_compact(F.array(*map(fits, own)))).otherwise(nothing) for key, own in by_key.items()])
+    def gate(key: str) -> Column:
+        word = anchor(key)
+        return norm.contains(key) if word is None else F.array_contains("present", word) & norm.contains(key)
+
+    matching = F.concat(*[F.when(gate(key), F.array_compact(F.array(*map(fits, own)))).otherwise(nothing) for key, own in by_key.items()])
+    anchors = F.array(*map(F.lit, sorted({w for k in by_key if (w := anchor(k)) is not None})))
 
     def found(tried: Column) -> Column:
         return F.flatten(F.transform(tried, lambda r: F.transform(_places(norm, r["expression"]), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
@@ -304,7 +320,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     kept = F.aggregate(F.sort_array(F.coalesce(let(matching, found), F.array().cast(_SPAN))), start, step, lambda acc: acc["kept"])
     detections = F.transform(kept, lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["confidence"].alias("confidence")))
-    return docs.select("doc_id", normalised(F.col("text")).alias("norm")).select("doc_id", words.alias("n_words"), base.alias("base"), detections.alias("detections"))
+    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    return texts.select("doc_id", "norm", F.array_intersect(F.split("norm", " "), anchors).alias("present")).select("doc_id", words.alias("n_words"), base.alias("base"), detections.alias("detections"))
 
 
 def license_report(scanned: DataFrame) -> DataFrame:
