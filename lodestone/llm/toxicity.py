@@ -157,26 +157,27 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame |
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """hash, fold, n0, n1: rows of either class in that part of the sample that hold it; hash -1 counts all rows."""
+    """hash, and per class c and part f of the sample the column nc_f: rows that hold the hash; hash -1 counts all rows."""
+    names = [f"n{c}_{f}" for f in range(FOLDS) for c in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((FOLDS, 2, (1 << BITS) + 1), np.int16 if 2 * TRAIN_ROWS < 30_000 else np.int32)
+        found = np.zeros((2 * FOLDS, (1 << BITS) + 1), np.int16 if 2 * TRAIN_ROWS < 30_000 else np.int32)
         for b in batches:
             for toxic, fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                found[fold, toxic, features(text.as_py())] += 1
-                found[fold, toxic, -1] += 1
-        for fold in range(FOLDS):
-            at = np.flatnonzero(found[fold].any(axis=0))
-            n0, n1 = found[fold][:, at].astype(np.int32)
-            yield pa.record_batch([pa.array(np.where(at == 1 << BITS, -1, at).astype(np.int32)), pa.array(np.full(len(at), fold, np.int32)), pa.array(n0), pa.array(n1)], names=["hash", "fold", "n0", "n1"])
+                found[2 * fold + toxic, features(text.as_py())] += 1
+                found[2 * fold + toxic, -1] += 1
+        at = np.flatnonzero(found.any(axis=0))
+        hashes_ = pa.array(np.where(at == 1 << BITS, -1, at).astype(np.int32))
+        yield pa.record_batch([hashes_, *(pa.array(n[at].astype(np.int32)) for n in found)], names=["hash", *names])
 
-    found = sample.select("toxic", "fold", "text").mapInArrow(run, "hash int, fold int, n0 int, n1 int")
-    return found.groupBy("hash", "fold").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    schema = ", ".join(["hash int", *(f"{n} int" for n in names)])
+    return sample.select("toxic", "fold", "text").mapInArrow(run, schema).groupBy("hash").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _choose(counts: DataFrame, share: float, without: int) -> Model | None:
     """A model without weights: the features that tell the classes apart best, leaving out one part of the sample."""
-    seen = counts.where(F.col("fold") != without).groupBy("hash").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    of = lambda c: sum((F.col(f"n{c}_{f}") for f in range(FOLDS) if f != without), F.lit(0))
+    seen = counts.select("hash", of(0).alias("n0"), of(1).alias("n1"))
     n0, n1 = seen.where("hash = -1").select("n0", "n1").first() or (0, 0)
     if not n0 or not n1:
         return None
