@@ -34,7 +34,8 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver has it, and bound Arrow batches.
 
-    The package's sources go to the workers as a file of the application. The batch bound is the session's own setting; where
+    The package's sources go to the workers as a file of the application. A Python operator knows the files that were there
+    when it was built, so this comes first in every function that builds one. The batch bound is the session's own setting; where
     the session leaves it unset, it becomes ARROW_ROWS for the rest of the session.
     """
     if _ARROW not in spark.conf.getAll:

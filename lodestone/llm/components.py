@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, group_stats, materialize, salt
+from lodestone.llm.common import attach, group_stats, materialize, salt, ship
 
 #: Edges that a task contracts at a time.
 CHUNK = 200_000
@@ -71,6 +71,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops, repeated and reversed edges and nulls do no harm; no edges give no rows. Every round is written to the shared
     folder. Stops when the edges are stars: no id has two parents, no parent is a child.
     """
+    ship(edges.sparkSession)
     held = materialize(contract_locally(edges).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
     while True:
         each = held.select(F.col("u").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(held.select(F.col("v").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("parent")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, group_stats, materialize, salt
+from lodestone.llm.common import attach, group_stats, materialize, salt, ship
 from lodestone.llm.components import connected_components
 
 THRESHOLD = 0.98
@@ -305,6 +305,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Repeated rows count as vectors of their own that link with each other; different vectors of one vec_id share their
     links. An empty table gives no rows.
     """
+    ship(rows.sparkSession)
     largest = rows.where("embedding is not null and label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(largest, threshold)
     every = materialize(_vectors(rows, bits, tables).withColumn("_salt", salt("vec_id")), "emb-signs")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_bucket, materialize
+from lodestone.llm.common import crc_bucket, materialize, ship
 
 #: Training text of a language: so many symbols, shared out if there are many languages, from about TRAIN_DOCS documents
 #: (chosen by a hash of doc_id) in equal shares, of each a passage of at most TRAIN_CHARS code points at a place that the
@@ -325,6 +325,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     if model.table.nbytes > MODEL_BYTES:
         raise ValueError(f"the model's tables have {model.table.nbytes} bytes: lower ALL_SYMBOLS")
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import materialize, text_bytes
+from lodestone.llm.common import materialize, ship, text_bytes
 
 #: A line's key counts from so many code points, and is dropped from so many documents on.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -222,6 +222,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, st
     loses all its lines but those in the rows of the largest doc_id that holds it. Repeated rows count one by one and are
     treated alike; a null doc_id is smaller than any other. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     own = [c for c in docs.columns if c not in counts]
     drops = materialize(find_repeated(docs, min_docs), "lines-drops")
     few = (drops.agg(F.sum(F.size("drops") + 1)).first()[0] or 0) <= BROADCAST_DROPS

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, group_stats, materialize, salt, text_bytes
+from lodestone.llm.common import attach, group_stats, materialize, salt, ship, text_bytes
 from lodestone.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -250,6 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     as are rows without a doc_id (class null, kept). Rows of one doc_id stand for one document: they stay or go together.
     An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     every = materialize(_sketches(docs).withColumn("_salt", salt("doc_id")), "near-sketch")
     sketch = every.where("key is not null")
     stats = group_stats(sketch, ["key"], {"rep": (F.min("doc_id"), F.min), "n": (F.max("n"), F.max), "codes": (F.first("codes"), F.first)})

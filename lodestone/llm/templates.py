@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import ship
+
 #: Control strings all begin with `<` or `[`; texts have these and the backslash escaped by a backslash.
 ESCAPED = re.compile(r"([\\<\[])")
 UNESCAPE = re.compile(r"\\([\\<\[])")
@@ -558,6 +560,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
             out.append((held, *render({"messages": messages})))
         yield _formatted(out)
 
+    ship(turns.sparkSession)
     dealt = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(run, "conv_id long, formatted string, spans array<struct<start: long, end: long>>")
 
@@ -598,6 +601,7 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
+    ship(formatted.sparkSession)
     return formatted.mapInArrow(run, DIGEST)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_bucket, materialize
+from lodestone.llm.common import crc_bucket, materialize, ship
 
 #: Code points of a feature, bits of its hash, and hashes that the classifier keeps.
 NGRAMS, BITS, FEATURES = (3, 4, 5, 6, 7, 8), 20, 4096
@@ -199,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     repeated rows one. With one class, or nothing that tells them apart, the score is the positive class's smoothed share,
     without labelled rows it is 0.
     """
+    ship(docs.sparkSession)
     sample, share = _sample(docs, labels, rows)
     if sample is None:
         return constant(0.0)
@@ -245,6 +246,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     share of toxic labels. Repeated rows score alike. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    ship(docs.sparkSession)
     own = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
